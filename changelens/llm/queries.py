@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, pii, sharding
+from . import exact_dedup, langid, packing, pii, quality, sharding
 from .scratch import table
 
 SHARD_BYTES = 8 << 20
@@ -26,9 +26,25 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = quality.in_fold(F.col("doc_id"), 4, 2)
+    found = langid.identify(docs, langid.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~quality.in_fold(F.col("id"), 3, 1))
+    return scored.select("doc_id", quality.in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op7_quality": op7_quality, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op10_exact_dedup": exact_dedup.ORACLE}
