@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, packing, pii, quality, sharding
+from . import exact_dedup, langid, ngram_join, packing, pii, quality, sharding
 from .scratch import table
 
 SHARD_BYTES = 8 << 20
@@ -42,9 +42,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op7_quality": op7_quality, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op7_quality": op7_quality, "op9_ngram_join": op9_ngram_join, "op10_exact_dedup": op10_exact_dedup}
 ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op10_exact_dedup": exact_dedup.ORACLE}
