@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .groups import link_groups
-from .scratch import materialize
+from .scratch import materialize, probably_in
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union, so a set of n can miss n // 4 of its elements and have a partner.
@@ -191,18 +191,7 @@ def _sets(docs: DataFrame) -> DataFrame:
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "elements"])
 
-    return docs.mapInArrow(run, "id long, elements array<long>")
-
-
-def _probably(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is in ``ids``, and a few others: a bitmap of hashed ids of at most 32 MB."""
-    bits = min(28, max(18, math.ceil(math.log2(max(1, ids.count()))) + 4))
-    slot = F.pmod(F.xxhash64("id"), F.lit(1 << bits))
-    maps = ids.select(slot.alias("slot")).groupBy((F.col("slot") / 32768).cast("long").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bitmap"))
-    place = F.col("slot") % 32768
-    byte = F.conv(F.hex(F.substring("bitmap", (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    joined = docs.withColumn("slot", slot).withColumn("part", (F.col("slot") / 32768).cast("long")).join(F.broadcast(maps), "part")
-    return joined.where(byte.bitwiseAND(F.expr("cast(shiftleft(1, cast(slot % 8 as int)) as int)")) != 0).select("id", "text")
+    return docs.select("id", "text").mapInArrow(run, "id long, elements array<long>")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +231,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     heavy = reps.where(F.col("size") * 4 >= F.lit(boundary * 3)).select(F.explode(F.transform("prefix", lambda t: F.xxhash64(F.lit(1), t))).alias("key"), "id", "size", (F.col("size") > boundary).alias("leads"))
     keys = light.unionByName(heavy)
 
-    sets = materialize(_sets(_probably(own, reps.select("id"))), "sets")
+    sets = materialize(_sets(probably_in(own, reps.select("id"), "id")), "sets")
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))

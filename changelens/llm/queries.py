@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, langid, ngram_join, packing, pii, quality, sharding
+from . import ann, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, pii, quality, sharding
 from .scratch import table
 
 SHARD_BYTES = 8 << 20
@@ -26,6 +26,11 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.extendible_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -37,11 +42,20 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), train=~quality.in_fold(F.col("id"), 3, 1))
     return scored.select("doc_id", quality.in_fold(F.col("doc_id"), 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = line_dedup.dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar_groups(table(spark, sf_dir, "documents"))
 
@@ -50,5 +64,8 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pii": op1_pii, "op2_sharding": op2_sharding, "op4_packing": op4_packing, "op5_language_id": op5_language_id, "op7_quality": op7_quality, "op9_ngram_join": op9_ngram_join, "op10_exact_dedup": op10_exact_dedup}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_pii, op2_sharding, op3_nearest, op4_packing, op5_language_id, op6_mixing, op7_quality, op8_line_dedup, op9_ngram_join, op10_exact_dedup)
+}
 ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op10_exact_dedup": exact_dedup.ORACLE}

@@ -6,10 +6,12 @@ Every multi-step operator cuts its lineage by writing Parquet to the shared fold
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -36,3 +38,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def probably_in(rows: DataFrame, ids: DataFrame, column: str, flag: str | None = None) -> DataFrame:
+    """The rows whose ``column`` is in the one column of ``ids``, and a few others, without a shuffle of ``rows``.
+
+    The hashed ids become a bitmap of at most 2**28 bits (32 MB), which is broadcast; when it fills up at very large
+    sizes more other rows pass, none is lost. With ``flag`` all rows stay and the answer goes to that column.
+    """
+    bits = min(28, max(18, math.ceil(math.log2(max(1, ids.count()))) + 4))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << bits))
+    part = lambda c: F.shiftright(c, 15).alias("_part")
+    name = ids.columns[0]
+    maps = ids.select(slot(name).alias("_slot")).groupBy(part(F.col("_slot"))).agg(F.bitmap_construct_agg(F.col("_slot") % 32768).alias("_bitmap"))
+    joined = rows.withColumn("_slot", slot(column)).withColumn("_part", F.shiftright("_slot", 15)).join(F.broadcast(maps), "_part", "left")
+    byte = F.conv(F.hex(F.substring("_bitmap", F.shiftright((F.col("_slot") % 32768).cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.expr("shiftright(_byte, cast(_slot % 8 as int)) % 2 = 1"), F.lit(False))
+    joined = joined.withColumn("_byte", byte).withColumn("_hit", hit)
+    return joined.where("_hit").select(*rows.columns) if flag is None else joined.select(*rows.columns, F.col("_hit").alias(flag))
