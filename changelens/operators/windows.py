@@ -28,24 +28,29 @@ def adaptive(events: DataFrame, when: str, start_s: int, end_s: int, threshold:
     """Leaves ``start_s, end_s, n, truncated`` of the span in epoch seconds: a window with more than ``threshold`` events
     that is longer than ``least_s`` is cut at its integer midpoint, again and again; dense leaves are ``truncated``.
 
-    Counts per second are formed once. All depths are known beforehand (a window's halves differ by one second at
-    most), so each level is one grouped sum over the seconds still in dense windows.
+    Where windows may be cut is known beforehand, so each second names all windows that hold it, one per level, and a
+    single grouped sum counts them all. Counts and lengths only grow upwards, hence a window exists if its parent is
+    to be split; no level waits for another.
     """
+    levels, longest = 0, end_s - start_s
+    while longest > least_s:
+        longest, levels = longest - longest // 2, levels + 1
     second = F.floor(F.unix_micros(F.col(when).cast("timestamp")) / 1_000_000).cast("long")
-    open_rows = events.select(second.alias("s")).where(F.col("s").between(start_s, end_s - 1)).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
-    open_rows = open_rows.select("s", "c", F.lit(start_s).cast("long").alias("lo"), F.lit(end_s).cast("long").alias("hi"))
-    leaves = events.sparkSession.createDataFrame([(start_s, end_s)], "lo long, hi long")
-    parents, done = leaves, None
-    while True:
-        counts = open_rows.groupBy("lo", "hi").agg(F.sum("c").alias("n"))
-        level = parents.join(counts, ["lo", "hi"], "left").withColumn("n", F.coalesce("n", F.lit(0))).cache()
-        dense = (F.col("n") > threshold) & (F.col("hi") - F.col("lo") > least_s)
-        leaf = level.where(~dense).select(F.col("lo").alias("start_s"), F.col("hi").alias("end_s"), "n", (F.col("n") > threshold).alias("truncated"))
-        done = leaf if done is None else done.unionByName(leaf)
-        split = level.where(dense).select("lo", "hi", (F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2).cast("long")).alias("mid"))
-        if split.isEmpty():
-            return done
-        parents = split.select(F.explode(F.array(F.struct("lo", F.col("mid").alias("hi")), F.struct(F.col("mid").alias("lo"), "hi"))).alias("w")).select("w.*")
-        halves = open_rows.join(split, ["lo", "hi"])
-        left = F.col("s") < F.col("mid")
-        open_rows = halves.select("s", "c", F.when(left, F.col("lo")).otherwise(F.col("mid")).alias("lo"), F.when(left, F.col("mid")).otherwise(F.col("hi")).alias("hi"))
+    seconds = events.select(second.alias("s")).where(F.col("s").between(start_s, end_s - 1)).groupBy("s").agg(F.count(F.lit(1)).alias("c"))
+    window = F.struct(F.lit(start_s).cast("long").alias("lo"), F.lit(end_s).cast("long").alias("hi"))
+
+    def half(acc, _):
+        mine = F.element_at(acc, -1)
+        middle = mine["lo"] + F.floor((mine["hi"] - mine["lo"]) / 2).cast("long")
+        low = F.col("s") < middle
+        return F.concat(acc, F.array(F.struct(F.when(low, mine["lo"]).otherwise(middle).alias("lo"), F.when(low, middle).otherwise(mine["hi"]).alias("hi"))))
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(levels)), F.array(window), half) if levels else F.array(window)
+    counts = seconds.select("c", F.explode(path).alias("w")).groupBy("w.lo", "w.hi").agg(F.sum("c").alias("n"))
+    wide = F.col("hi") - F.col("lo") > least_s
+    split = counts.where((F.col("n") > threshold) & wide)
+    middle = F.col("lo") + F.floor((F.col("hi") - F.col("lo")) / 2).cast("long")
+    halves = split.select(F.explode(F.array(F.struct("lo", middle.alias("hi")), F.struct(middle.alias("lo"), "hi"))).alias("w")).select("w.*")
+    whole = events.sparkSession.createDataFrame([(start_s, end_s)], "lo long, hi long")
+    found = whole.unionByName(halves).join(counts, ["lo", "hi"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return found.where(~((F.col("n") > threshold) & wide)).select(F.col("lo").alias("start_s"), F.col("hi").alias("end_s"), "n", (F.col("n") > threshold).alias("truncated"))
