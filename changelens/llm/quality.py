@@ -154,7 +154,7 @@ def fit(statistics_of: DataFrame, labels: DataFrame, train: Column, label_col: s
     rows = marked.count()
     keep = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample_rows / max(1, rows)))
     sample = statistics_of.join(marked.where(keep).groupBy("id").agg(F.max("y").alias("y")), "id").select("id", "x", "y").toPandas().sort_values("id", kind="stable")
-    x = np.array(sample["x"].tolist(), np.float32).reshape(len(sample), -1)
+    x = np.array(sample["x"].tolist(), np.float32).reshape(len(sample), len(STATISTICS))
     return HistogramTrees().fit(x, sample["y"].to_numpy(float))
 
 
