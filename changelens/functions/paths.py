@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names, suffixes and directory words that decide a path's class.
@@ -41,6 +41,8 @@ BUILD_NAMES = (
 )
 #: The suffixes and directory marks of the narrower source-or-test rule.
 REVIEW_SUFFIXES = ".c .cc .cpp .cs .css .dart .ex .exs .go .h .hpp .html .java .js .jsx .kt .kts .lua .m .mm .php .pl .py .r .rb .rs .scala .sh .sql .swift .ts .tsx .vue .xml".split()
+#: A suffix starts at the last dot; names that only start with dots or end with one have none.
+SUFFIX = r"[^.].*?(\.[^.]+)$"
 FILE_KINDS = ("lockfile", "generated_or_vendor_path", "test_path", "documentation_path", "source_candidate", "configuration_path", "other_or_unknown")
 
 
@@ -67,7 +69,7 @@ def file_name(path: Column) -> Column:
 
 def suffix(path: Column) -> Column:
     """From the last dot; empty for names that only start with dots or end with one."""
-    return F.regexp_extract(file_name(path), r"[^.].*?(\.[^.]+)$", 1)
+    return F.regexp_extract(file_name(path), SUFFIX, 1)
 
 
 def stem(path: Column) -> Column:
@@ -79,22 +81,43 @@ def parent_directory(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(clean_path(path), r"^(.*)/[^/]*$", 1), F.lit("")), F.lit("."))
 
 
-def has_part(path: Column, words: list[str]) -> Column:
-    return F.arrays_overlap(parts(path), _words(words))
+class Parsed:
+    """What the rules look at. Built from a path column, or from columns of ``parse`` so that nothing is parsed twice."""
 
+    FIELDS = ("low", "parts", "dirs", "name", "suffix", "tokens")
 
-def file_kind(path: Column) -> Column:
+    def __init__(self, path: Column | None = None, struct: Column | None = None):
+        if struct is not None:
+            self.low, self.parts, self.dirs, self.name, self.suffix, self.tokens = (struct[f] for f in self.FIELDS)
+        else:
+            self.low = clean_path(F.lower(path))
+            self.parts, self.dirs, self.name, self.suffix, self.tokens = F.split(self.low, "/", -1), directories(F.lower(path)), file_name(self.low), suffix(self.low), stem_tokens(path)
+
+    def has(self, words: list[str]) -> Column:
+        return F.arrays_overlap(self.parts, _words(words))
+
+
+def parse(df: DataFrame, path: str = "path", name: str = "_p") -> DataFrame:
+    """Adds a struct of Parsed.FIELDS under ``name``; give ``Parsed(struct=...)`` to the rules and drop it afterwards."""
+    p = Parsed(F.col(path))
+    flat = df.withColumns({f"{name}_low": p.low, f"{name}_name": p.name, f"{name}_parts": p.parts})
+    low, last, steps = (F.col(f"{name}_{k}") for k in ("low", "name", "parts"))
+    fields = {"low": low, "parts": steps, "dirs": F.slice(steps, 1, F.size(steps) - 1), "name": last, "suffix": F.regexp_extract(last, SUFFIX, 1), "tokens": p.tokens}
+    return flat.withColumn(name, F.struct(*[c.alias(k) for k, c in fields.items()])).drop(f"{name}_low", f"{name}_name", f"{name}_parts")
+
+
+def file_kind(path: Column, parsed: Parsed | None = None) -> Column:
     """One of FILE_KINDS, the first rule that matches; null for null."""
-    low = F.lower(path)
-    name, end = file_name(low), suffix(low)
+    p = parsed or Parsed(path)
+    name, end = p.name, p.suffix
     return (
         F.when(path.isNull(), None)
         .when(name.isin(*LOCKFILES) | name.endswith(".lock"), "lockfile")
-        .when(has_part(low, GENERATED_PARTS) | name.rlike(r"\.min\.(js|css)$|\.g\.cs$|\.pb\.(go|cc|h)$"), "generated_or_vendor_path")
-        .when(has_part(low, TEST_PARTS) | name.rlike(r"^test_|_test\.|\.(test|spec)\.|test\.java$"), "test_path")
-        .when(end.isin(*DOCUMENT_SUFFIXES) | has_part(low, DOCUMENT_PARTS) | name.rlike(r"^(readme|license|changelog)"), "documentation_path")
+        .when(p.has(GENERATED_PARTS) | name.rlike(r"\.min\.(js|css)$|\.g\.cs$|\.pb\.(go|cc|h)$"), "generated_or_vendor_path")
+        .when(p.has(TEST_PARTS) | name.rlike(r"^test_|_test\.|\.(test|spec)\.|test\.java$"), "test_path")
+        .when(end.isin(*DOCUMENT_SUFFIXES) | p.has(DOCUMENT_PARTS) | name.rlike(r"^(readme|license|changelog)"), "documentation_path")
         .when(end.isin(*SOURCE_SUFFIXES), "source_candidate")
-        .when(end.isin(*CONFIG_SUFFIXES) | has_part(low, [".github"]) | name.isin("dockerfile", "makefile"), "configuration_path")
+        .when(end.isin(*CONFIG_SUFFIXES) | p.has([".github"]) | name.isin("dockerfile", "makefile"), "configuration_path")
         .otherwise("other_or_unknown")
     )
 
@@ -103,15 +126,14 @@ def is_container_file(name: Column) -> Column:
     return name.rlike(r"^(dockerfile|docker-compose|compose\.y)")
 
 
-def stage_flags(path: Column, kind: Column) -> dict[str, Column]:
+def stage_flags(path: Column, kind: Column, parsed: Parsed | None = None) -> dict[str, Column]:
     """Overlapping flags: a path may be in several stages."""
-    low = F.lower(path)
-    name = file_name(low)
+    p = parsed or Parsed(path)
     return {
         "code_path": kind == "source_candidate",
         "test_path": kind == "test_path",
-        "ci_path": clean_path(low).contains(".github/workflows") | has_part(low, [".circleci"]) | name.isin(*CI_NAMES),
-        "deployment_path": has_part(low, DEPLOY_PARTS) | is_container_file(name) | (suffix(low) == ".tf"),
+        "ci_path": p.low.contains(".github/workflows") | p.has([".circleci"]) | p.name.isin(*CI_NAMES),
+        "deployment_path": p.has(DEPLOY_PARTS) | is_container_file(p.name) | (p.suffix == ".tf"),
         "documentation_path": kind == "documentation_path",
     }
 
@@ -121,10 +143,10 @@ def stem_tokens(path: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(F.regexp_replace(stem(path), r"([a-z0-9])([A-Z])", r"$1_$2")), r"[-.]", "_"), "_", -1)
 
 
-def module_evidence(path: Column, kind: Column, strict: bool = False) -> Column:
+def module_evidence(path: Column, kind: Column, strict: bool = False, parsed: Parsed | None = None) -> Column:
     """array<struct<module, evidence>>; ``strict`` takes directory names only. Explicit test paths give none."""
-    low = F.lower(path)
-    dirs, end, name = directories(low), suffix(low), file_name(low)
+    p = parsed or Parsed(path)
+    dirs, end, name = p.dirs, p.suffix, p.name
     test = F.exists(dirs, lambda d: d.rlike(r"(^|[._-])(tests?|specs?)([._-]|$)")) | name.rlike(r"(tests?|specs?)\.(cs|java|kt|swift)$")
     nothing = F.array().cast("array<string>")
 
@@ -135,7 +157,7 @@ def module_evidence(path: Column, kind: Column, strict: bool = False) -> Column:
     for module in MODULES[:-1]:
         seen = [F.array_sort(F.array_intersect(dirs, _words(MODULE_DIRECTORIES[module])))]
         if not strict:
-            tokens = F.transform(F.array_sort(F.array_intersect(stem_tokens(path), _words(MODULE_TOKENS[module]))), lambda t: F.concat(F.lit("file:"), t))
+            tokens = F.transform(F.array_sort(F.array_intersect(p.tokens, _words(MODULE_TOKENS[module]))), lambda t: F.concat(F.lit("file:"), t))
             seen.append(tokens if module == "interface" else F.when(end.isin(*MARKUP_SUFFIXES), nothing).otherwise(tokens))
             if module == "interface":
                 seen.append(only(end.isin(*INTERFACE_SUFFIXES), F.concat(F.lit("extension:"), end)))

@@ -46,10 +46,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, path, additions, deletions, kind`` of every changed file."""
+    """``id, path, additions, deletions, kind`` of every changed file, and the parsed path as ``_p``."""
     lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_tax")
     rows = lines.selectExpr("l_orderkey AS id", f"{PATH} AS path", "cast(floor(l_quantity) AS bigint) AS additions", "cast(floor(l_tax * 100) AS bigint) AS deletions")
-    return rows.withColumn("kind", paths.file_kind(F.col("path")))
+    parsed = paths.parse(rows)
+    return parsed.withColumn("kind", paths.file_kind(F.col("path"), paths.Parsed(struct=F.col("_p"))))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

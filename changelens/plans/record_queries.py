@@ -40,7 +40,7 @@ STAGE_SQL = {
 def stage_footprints(spark, sf_dir):
     """Changes touching each stage."""
     df = files(spark, sf_dir)
-    flags = paths.stage_flags(F.col("path"), F.col("kind"))
+    flags = paths.stage_flags(F.col("path"), F.col("kind"), paths.Parsed(struct=F.col("_p")))
     per = df.groupBy("id").agg(*[F.bool_or(c).alias(k) for k, c in flags.items()])
     long = a.unpivot(per, ["id"], list(flags), "stage")
     return long.groupBy("stage").agg(F.count(F.lit(1)).alias("eligible"), F.count_if("flag").alias("touching"), share(F.count_if("flag"), F.count(F.lit(1))).alias("pct"))
@@ -71,7 +71,7 @@ MODULES_SQL = f"{WF}, m AS (SELECT *, {', '.join(f'({module_sql(m)}) AS {m}, ({m
 
 def module_rows(spark, sf_dir, strict: bool = False):
     df = files(spark, sf_dir)
-    return df.select("id", "path", F.explode(paths.module_evidence(F.col("path"), F.col("kind"), strict)).alias("e")).select("id", "path", "e.*")
+    return df.select("id", "path", F.explode(paths.module_evidence(F.col("path"), F.col("kind"), strict, paths.Parsed(struct=F.col("_p")))).alias("e")).select("id", "path", "e.*")
 
 
 def module_matrix_of(spark, sf_dir, strict: bool = False):
