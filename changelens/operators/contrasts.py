@@ -108,7 +108,8 @@ def wilson(hits: Column, n: Column, z: float = Z95) -> tuple[Column, Column]:
     scale = 1 + F.lit(z * z) / F.nullif(n, F.lit(0))
     centre = (p + F.lit(z * z) / (2 * F.nullif(n, F.lit(0)))) / scale
     margin = F.lit(z) * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)) + F.lit(z * z) / (4 * F.nullif(n, F.lit(0)) * F.nullif(n, F.lit(0)))) / scale
-    return F.coalesce(F.greatest(F.lit(0.0), centre - margin), F.lit(0.0)), F.coalesce(F.least(F.lit(1.0), centre + margin), F.lit(0.0))
+    some = lambda x: F.when(n > 0, x).otherwise(F.lit(0.0))
+    return some(F.greatest(F.lit(0.0), centre - margin)), some(F.least(F.lit(1.0), centre + margin))
 
 
 def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
