@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize
+from .scratch import materialize, probably_in
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -37,40 +37,49 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
+def shared_keys(keys: DataFrame) -> DataFrame:
+    """``key, id, size, at`` of the keys with several members of which one leads. Most keys have one member and are dropped
+    by a broadcast bitmap of the others before rows are moved."""
+    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("leads").alias("led")).where("members > 1 and led").select("key")
+    lead = materialize(lead, "lead")
+    return materialize(probably_in(keys, lead, "key").join(lead, "key").select("key", "id", "size", "at"), "keys")
+
+
 def link_groups(
     keys: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     compatible: Callable[[Column, Column], Column],
-    rounds: int = 3,
-) -> DataFrame | None:
-    """``id, component`` of all ids in verified links, given ``keys`` (key, id, size, leads); None without any link.
+    rounds: int = 1,
+    shared: bool = False,
+) -> DataFrame:
+    """``id, component`` of all ids in verified links, given ``keys`` (key, id, size, at, leads).
 
-    Any two linked rows share a key of which at least one member ``leads``. In each round every key compares its
+    Any two linked rows share a key of which at least one member ``leads`` and where the two are ``compatible`` by what
+    they bring there (size, and a place ``at`` in their order). In each round every key compares its
     smallest unspent member with its others, which is linear in the key's length, and spends it. Keys whose members
     already are in one group are done. What is open after the last round is compared in full, but only across groups:
-    within a group no pair is needed. So no link between groups is lost, and groups of copies never unfold into pairs.
+    within a group no pair is needed. ``shared`` says that ``keys`` come from ``shared_keys``. So no link between groups is lost, and groups of copies never unfold into pairs.
     """
-    lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("leads").alias("led")).where("members > 1 and led").select("key")
-    open_keys = materialize(keys.join(lead, "key").select("key", "id", "size"), "keys").withColumn("component", F.col("id"))
+    open_keys = (keys if shared else shared_keys(keys)).withColumn("component", F.col("id"))
     edges, groups = None, None
     for turn in range(rounds + 1):
-        member = lambda name: F.struct("id", "size", "component").alias(name)
+        member = lambda name: F.struct("id", "size", "at", "component").alias(name)
         if turn < rounds:
-            pivots = open_keys.groupBy("key").agg(F.min(F.struct("id", "size", "component")).alias("p"))
+            pivots = open_keys.groupBy("key").agg(F.min(F.struct("id", "size", "at", "component")).alias("p"))
             met = open_keys.join(pivots, "key").select("key", "p", member("m")).where("m.id <> p.id")
         else:
             met = open_keys.select("key", member("p")).join(open_keys.select("key", member("m")), "key").where("p.id < m.id")
-        met = met.where("p.component <> m.component").where(compatible(F.col("p.size"), F.col("m.size")))
+        met = met.where("p.component <> m.component").where(compatible(F.col("p"), F.col("m")))
         pairs = met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct()
         found = materialize(verify(pairs), "links")
         edges = found if edges is None else groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
         groups = materialize(connected_components(edges), "groups")
         if turn == rounds:
             break
-        rest = open_keys.join(pivots.select("key", F.col("p.id").alias("pivot")), "key").where("id <> pivot").select("key", "id", "size")
+        rest = open_keys.join(pivots.select("key", F.col("p.id").alias("pivot")), "key").where("id <> pivot").select("key", "id", "size", "at")
         rest = rest.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
         several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_keys = materialize(rest.join(several, "key").select("key", "id", "size", "component"), "keys")
+        open_keys = materialize(rest.join(several, "key").select("key", "id", "size", "at", "component"), "keys")
         if open_keys.isEmpty():
             break
     return groups

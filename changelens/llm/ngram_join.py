@@ -1,12 +1,14 @@
 """N-gram Jaccard join: a size-aware heavy-light join of shingle sets, exact at the threshold of 3/4.
 
 1. Every text becomes a set of 64-bit shingle hashes. The shingles whose hash lies in the lowest REGION of the hash
-   range, and each set's prefix in hash order, are counted across the corpus in buckets; what repeats within a batch
-   is settled there. A set with more unique shingles than its size allows to miss cannot have a partner and is done.
+   range are counted across the corpus in buckets; what repeats within a batch is settled there. A set with more
+   unique shingles than its size allows to miss cannot have a partner and is done; few texts remain.
 2. Sets with equal content form one class and go on as one.
-3. Small sets enumerate the two-element subsets of their prefix, large ones scan the inverted lists of their prefix
+3. Shingles are put in order of their frequency among the sets that are left, rare ones first. A set's prefix must
+   share its first element with any partner, so unique elements in it shorten what has to be looked up.
+4. Small sets enumerate the two-element subsets of their prefix, large ones scan the inverted lists of their prefix
    elements; the size that separates them is where both cost the same, given the average length of a list.
-4. Candidates are verified on whole sets, pivot by pivot, until each list lies in one group (see groups).
+5. Candidates are verified on whole sets, pivot by pivot, until each list lies in one group (see groups).
 """
 
 from __future__ import annotations
@@ -65,11 +67,12 @@ def _ids(column: pa.Array) -> np.ndarray:
 
 
 _BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("base", pa.int64()), ("wide", pa.bool_()), ("keys", pa.binary()), ("docs", pa.binary()), ("known", pa.binary())])
-_ROW = ("kind int, doc long, tok long, n long, s1 long, s2 long, cut long, counted long")
+_ROW = "kind int, doc long, n long, s1 long, s2 long, counted long, repeated long"
+_INFO = ("doc", "n", "s1", "s2", "counted", "repeated")
 
 
 def _blocks(bits: int):
-    """A function of batches (id, text) that gives blocks: 0 set summaries, 1 repeated elements, 2 elements to count."""
+    """A function of batches (id, text) that gives blocks: 0 set summaries, 1 elements to count by bucket."""
 
     def flush(docs: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
         rows: list[tuple] = []
@@ -78,41 +81,34 @@ def _blocks(bits: int):
         info[:, 0], info[:, 1] = docs, sizes
         parts, owners = [], []
         for k, s in enumerate(sets):
-            if len(s):
-                high = s >> np.uint64(24)
-                rank = min(len(s), len(s) // 4 + 2) - 1
-                counted = int(np.searchsorted(high, REGION))
-                with np.errstate(over="ignore"):
-                    info[k, 2:] = np.array([s.sum(dtype=np.uint64), textkit.mix(s).sum(dtype=np.uint64), high[rank], counted], np.uint64).view(np.int64)
-                upto = max(counted, rank + 1)
-                parts.append(s[:upto])
-                owners.append(np.full(upto, k))
-        bucket = docs[0] % (1 << bits)
-        rows.append((0, bucket, 0, False, info.tobytes(), b"", b""))
-        if parts:
-            tokens, owner = np.concatenate(parts), np.array(docs, np.int64)[np.concatenate(owners)]
-            key = (tokens & np.uint64((1 << bits) - 1)) << np.uint64(40) | tokens >> np.uint64(24)
-            order = np.argsort(key, kind="stable")
-            key, owner = key[order], owner[order]
-            equal = key[1:] == key[:-1]
-            again = np.zeros(len(key), bool)
-            again[1:] |= equal
-            first = ~again
-            again[:-1] |= equal
-            if again.any():
-                rows.append((1, (bucket + 1) % (1 << bits), 0, False, key[again].tobytes(), owner[again].tobytes(), b""))
-            one, known = ~again, again & first
-            keys, owner, known = key[one], owner[one], key[known]
-            base = int(owner.min()) if len(owner) else 0
-            wide = bool(len(owner)) and int(owner.max()) - base >= 2**32
-            owner = owner if wide else (owner - base).astype(np.uint32)
-            edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(40)
-            at, known_at = np.searchsorted(keys, edges), np.searchsorted(known, edges)
-            narrow = lambda a: np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :5])
-            keys, known = narrow(keys), narrow(known)
-            for b in np.flatnonzero((np.diff(at) > 0) | (np.diff(known_at) > 0)).tolist():
-                mine = slice(at[b], at[b + 1])
-                rows.append((2, b, base, wide, keys[mine].tobytes(), owner[mine].tobytes(), known[known_at[b] : known_at[b + 1]].tobytes()))
+            counted = int(np.searchsorted(s >> np.uint64(24), REGION))
+            with np.errstate(over="ignore"):
+                info[k, 2:5] = np.array([s.sum(dtype=np.uint64), textkit.mix(s).sum(dtype=np.uint64), counted], np.uint64).view(np.int64)
+            parts.append(s[:counted])
+            owners.append(np.full(counted, k))
+        tokens, owner = np.concatenate(parts), np.concatenate(owners)
+        key = (tokens & np.uint64((1 << bits) - 1)) << np.uint64(40) | tokens >> np.uint64(24)
+        order = np.argsort(key, kind="stable")
+        key, owner = key[order], owner[order]
+        equal = key[1:] == key[:-1]
+        again = np.zeros(len(key), bool)
+        again[1:] |= equal
+        first = ~again
+        again[:-1] |= equal
+        info[:, 5] = np.bincount(owner[again], minlength=len(docs))
+        rows.append((0, docs[0] % (1 << bits), 0, False, info.tobytes(), b"", b""))
+        one, known = ~again, again & first
+        keys, owner, known = key[one], np.array(docs, np.int64)[owner[one]], key[known]
+        base = int(owner.min()) if len(owner) else 0
+        wide = bool(len(owner)) and int(owner.max()) - base >= 2**32
+        owner = owner if wide else (owner - base).astype(np.uint32)
+        edges = np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(40)
+        at, known_at = np.searchsorted(keys, edges), np.searchsorted(known, edges)
+        narrow = lambda a: np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :5])
+        keys, known = narrow(keys), narrow(known)
+        for b in np.flatnonzero((np.diff(at) > 0) | (np.diff(known_at) > 0)).tolist():
+            mine = slice(at[b], at[b + 1])
+            rows.append((1, b, base, wide, keys[mine].tobytes(), owner[mine].tobytes(), known[known_at[b] : known_at[b + 1]].tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _BLOCK, strict=True)], schema=_BLOCK)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,11 +130,10 @@ def _blocks(bits: int):
 
 
 def _count(table: pa.Table) -> pa.Table:
-    """Of one bucket: set summaries as rows, and each (doc, element) whose element is in more than one place."""
+    """Of one bucket: set summaries as rows (kind 0), and per document how many of its elements are elsewhere too (1)."""
     column = {c: table.column(c).to_pylist() for c in table.column_names}
-    info = [np.frombuffer(x, np.int64).reshape(-1, 6) for x, kind in zip(column["keys"], column["kind"], strict=True) if kind == 0]
-    info = np.concatenate(info) if info else np.zeros((0, 6), np.int64)
-    docs, toks = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    info = [np.frombuffer(x, np.int64).reshape(-1, len(_INFO)) for x, kind in zip(column["keys"], column["kind"], strict=True) if kind == 0]
+    info = np.concatenate(info) if info else np.zeros((0, len(_INFO)), np.int64)
     keys, owners, known = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
 
     def wider(raw: bytes) -> np.ndarray:
@@ -146,18 +141,14 @@ def _count(table: pa.Table) -> pa.Table:
         out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
         return out.view(np.uint64).ravel()
 
-    bucket = 0
     for i, kind in enumerate(column["kind"]):
         if kind == 1:
-            docs.append(np.frombuffer(column["docs"][i], np.int64))
-            toks.append(np.frombuffer(column["keys"][i], np.int64))
-        elif kind == 2:
-            bucket = column["bucket"][i]
             keys.append(wider(column["keys"][i]))
             raw = column["docs"][i]
             owners.append(np.frombuffer(raw, np.int64) if column["wide"][i] else column["base"][i] + np.frombuffer(raw, np.uint32).astype(np.int64))
             known.append(wider(column["known"][i]))
-    key, owner, known = np.concatenate(keys), np.concatenate(owners), np.concatenate(known)
+    key, owner = np.concatenate(keys), np.concatenate(owners)
+    known = np.unique(np.concatenate(known))
     order = np.argsort(key, kind="stable")
     key, owner = key[order], owner[order]
     again = np.zeros(len(key), bool)
@@ -165,20 +156,17 @@ def _count(table: pa.Table) -> pa.Table:
         equal = key[1:] == key[:-1]
         again[1:] |= equal
         again[:-1] |= equal
-        known = np.unique(known)
         if len(known):
             again |= known[np.minimum(np.searchsorted(known, key), len(known) - 1)] == key
-    docs.append(owner[again])
-    toks.append((key[again] | np.uint64(bucket) << np.uint64(40)).view(np.int64))
-    doc, tok = np.concatenate(docs), np.concatenate(toks)
+    doc, n = np.unique(owner[again], return_counts=True)
     m, k = len(info), len(doc)
-    nothing = lambda n: pa.nulls(n, pa.int64())
     both = lambda a, b: pa.chunked_array([a, b]).combine_chunks()
+    rest = {c: both(pa.array(info[:, j].copy()), pa.nulls(k, pa.int64())) for j, c in enumerate(_INFO) if j not in (0, 5)}
     return pa.table({
         "kind": pa.array(np.repeat([0, 1], [m, k]), pa.int32()),
         "doc": pa.array(np.concatenate([info[:, 0], doc])),
-        "tok": both(nothing(m), pa.array(tok)),
-        **{c: both(pa.array(info[:, j].copy()), nothing(k)) for j, c in ((1, "n"), (2, "s1"), (3, "s2"), (4, "cut"), (5, "counted"))},
+        **rest,
+        "repeated": pa.array(np.concatenate([info[:, 5], n.astype(np.int64)])),
     })
 
 
@@ -206,33 +194,38 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bits = min(16, max(9, math.ceil(math.log2(max(1, own.count()) / 200))))
     blocks = own.mapInArrow(_blocks(bits), "kind int, bucket int, base long, wide boolean, keys binary, docs binary, known binary")
     counted = materialize(blocks.groupBy("bucket").applyInArrow(_count, _ROW), "shingles")
-    info = counted.where("kind = 0").select("doc", "n", "s1", "s2", "cut", "counted")
-    shared = counted.where("kind = 1").groupBy("doc").agg(F.collect_list("tok").alias("toks"))
-    position = lambda t: t.bitwiseAND(F.lit(MASK))
-    repeated = F.size(F.filter("toks", lambda t: position(t) < REGION))
-    alive = (
-        info.join(shared, "doc")
-        .where(F.col("counted") - repeated <= F.floor(F.col("n") / 4))
-        .select("doc", "n", "s1", "s2", F.array_sort(F.array_distinct(F.filter("toks", lambda t: position(t) <= F.col("cut")))).alias("prefix"))
-    )
+    info = counted.where("kind = 0").select(*_INFO)
+    elsewhere = counted.where("kind = 1").groupBy("doc").agg(F.sum("repeated").alias("elsewhere"))
+    unique = F.col("counted") - F.col("repeated") - F.coalesce("elsewhere", F.lit(0))
+    alive = info.join(elsewhere, "doc", "left").where((F.col("n") > 0) & (unique <= F.floor(F.col("n") / 4))).select("doc", "n", "s1", "s2")
     alive = materialize(alive, "alive")
-    members = materialize(alive.join(alive.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), ["n", "s1", "s2"]).select("doc", "rep", "n", "prefix"), "members")
-    reps = members.where("doc = rep").dropDuplicates(["doc"]).select(F.col("doc").alias("id"), F.col("n").alias("size"), "prefix")
-
-    lists = reps.select(F.explode("prefix").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("c"))
-    row = lists.agg((F.sum(F.col("c") * F.col("c")) / F.sum("c")).alias("mean")).first()
+    members = materialize(alive.join(alive.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), ["n", "s1", "s2"]).select("doc", "rep"), "members")
+
+    # the sets that are left, and their prefixes in order of frequency among them
+    sets = materialize(_sets(probably_in(own, members.where("doc = rep").select("doc"), "id")), "sets")
+    elements = sets.select("id", F.size("elements").alias("size"), F.explode("elements").alias("tok"))
+    shared = elements.groupBy("tok").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    listed = elements.join(shared, "tok").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("c", "tok"))).alias("listed"))
+    # of size // 4 + 1 (for pairs of elements + 2) prefix elements the unique ones come first
+    left = F.floor(F.col("size") / 4) + 1 - (F.col("size") - F.size("listed"))
+    upto = lambda n: F.transform(F.slice("listed", 1, F.greatest(F.lit(0), n).cast("int")), lambda e: e["tok"])
+    average = F.aggregate(F.slice("listed", 1, F.greatest(F.lit(0), left).cast("int")), F.lit(0).cast("long"), lambda acc, e: acc + e["c"])
+    reps = materialize(listed.select("id", "size", F.size("listed").alias("shared"), upto(left).alias("one"), upto(left + 1).alias("two"), average.alias("met")), "prefixes")
+
+    row = reps.agg((F.sum("met") / F.sum(F.size("one"))).alias("mean")).first()
     # a set with prefix p costs about p * mean comparisons as lists, and p * (p + 1) / 2 keys as subsets
     longest = min(MOST_SUBSET_PREFIX, max(1, int(2 * (row["mean"] or 1)) - 1))
     boundary = 4 * longest - 1
+    first = F.col("size") - F.col("shared")  # unique elements stand before all others
     pairs_of = F.flatten(
-        F.transform("prefix", lambda x, i: F.transform(F.slice("prefix", i + 2, F.greatest(F.size("prefix") - i - 1, F.lit(0))), lambda y: F.xxhash64(F.lit(2), x, y)))
+        F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.greatest(F.size("two") - i - 1, F.lit(0))), lambda y, j: F.struct(F.xxhash64(F.lit(2), x, y).alias("key"), (first + i + j).alias("at"))))
     )
-    light = reps.where((F.col("size") <= boundary) & (F.col("size") > 2)).select(F.explode(pairs_of).alias("key"), "id", "size", F.lit(True).alias("leads"))
-    heavy = reps.where(F.col("size") * 4 >= F.lit(boundary * 3)).select(F.explode(F.transform("prefix", lambda t: F.xxhash64(F.lit(1), t))).alias("key"), "id", "size", (F.col("size") > boundary).alias("leads"))
+    lists_of = F.transform("one", lambda t, i: F.struct(F.xxhash64(F.lit(1), t).alias("key"), (first + i).alias("at")))
+    keyed = lambda rows, of, leads: rows.select(F.explode(of).alias("k"), "id", "size", leads.alias("leads")).select("k.key", "id", "size", F.col("k.at").alias("at"), "leads")
+    light = keyed(reps.where((F.col("size") <= boundary) & (F.col("size") > 2)), pairs_of, F.lit(True))
+    heavy = keyed(reps.where(F.col("size") * 4 >= F.lit(boundary * 3)), lists_of, F.col("size") > boundary)
     keys = light.unionByName(heavy)
 
-    sets = materialize(_sets(probably_in(own, reps.select("id"), "id")), "sets")
-
     def verify(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("elements").alias("x"))
         right = sets.select(F.col("id").alias("b"), F.col("elements").alias("y"))
@@ -240,8 +233,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pairs.join(left, "a").join(right, "b").where(common * 100 >= (F.size("x") + F.size("y") - common) * 75).select("a", "b").distinct()
 
     def compatible(a: Column, b: Column) -> Column:
-        return F.least(a, b) * 4 >= F.greatest(a, b) * 3
+        """A link's intersection is at least 3/7 of both sizes together, and at the pair's first common key all of it
+        lies at or after the place of that key in both sets."""
+        rest = F.least(a["size"] - a["at"], b["size"] - b["at"])
+        return rest * 7 >= (a["size"] + b["size"]) * 3
 
     groups = link_groups(keys, verify, compatible)
-    found = members.select("doc", "rep").distinct().join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
+    found = members.distinct().join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     return info.join(found, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))

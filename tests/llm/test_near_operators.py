@@ -90,6 +90,22 @@ def test_lines_against_brute_force(spark):
     assert line_dedup.dedup_lines(df.limit(0)).collect() == []
 
 
+def test_edit_distance_equals_the_table():
+    draw = random.Random(6)
+
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, a in enumerate(x, 1):
+            before, row[0] = row[0], i
+            for j, b in enumerate(y, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (a != b))
+        return row[-1]
+
+    for _ in range(2000):
+        x, y = ("".join(draw.choice("abé") for _ in range(draw.randint(0, 12))) for _ in range(2))
+        assert [line_dedup.edits_within(x, y, k) for k in range(14)] == [distance(x, y) <= k for k in range(14)]
+
+
 def test_line_simhash_does_not_depend_on_neighbours(spark):
     texts = [f"x{i} y\n{LINE.format(0)}" for i in range(40)] + [LINE.format(0) + f"\nz{i}" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
