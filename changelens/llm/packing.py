@@ -39,7 +39,7 @@ class FastIds:
 
     LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
 
-    def __init__(self, path: str, most: int = 1_000_000):
+    def __init__(self, path: str, most: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -103,9 +103,10 @@ class FastIds:
         slots = [self.slots.get(k, -1) for k in keys]
         missing = [i for i, s in enumerate(slots) if s < 0]
         if missing:
-            new = self.tokenizer.encode_batch_fast([whole[starts[first[i]] : ends[first[i]]] for i in missing], add_special_tokens=False)
-            sizes = np.array([len(e.ids) for e in new], np.int64)
-            ids = np.concatenate([np.array(e.ids, np.uint32) for e in new])
+            parts = [whole[starts[first[i]] : ends[first[i]]] for i in missing]
+            new = [e.ids for k in range(0, len(parts), 4096) for e in self.tokenizer.encode_batch_fast(parts[k : k + 4096], add_special_tokens=False)]
+            sizes = np.array([len(e) for e in new], np.int64)
+            ids = np.array([x for e in new for x in e], np.uint32)
             base, room = len(self.slots), self.used + len(ids)
             while room > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
@@ -232,7 +233,7 @@ def segments(patterns: list[tuple[list[int], int]]) -> np.ndarray:
     return np.array(sorted(rows), np.int64).reshape(-1, 5)
 
 
-def place(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = 5000) -> DataFrame:
+def place(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = 500) -> DataFrame:
     """``pieces`` (with ``id, piece, length``) plus ``sequence_id`` and ``offset``.
 
     Ranks within a length come from windows over (length, salt) with about ``per_group`` rows, plus the counts of the
