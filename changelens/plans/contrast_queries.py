@@ -11,7 +11,16 @@ from .registry import query
 
 W = f"WITH {CHANGES_SQL}"
 KEYS = ["repository_id", "agent", "quarter"]
-FEATURE = F.when(F.col("task_type") == "feature", True).when(F.col("task_type") == "bug_fix", False)
+
+
+def feature_arm():
+    return F.when(F.col("task_type") == "feature", True).when(F.col("task_type") == "bug_fix", False)
+
+
+def period_arm():
+    return F.when(F.col("quarter") == PERIODS[1], True).when(F.col("quarter") == PERIODS[0], False)
+
+
 IN_PERIODS = f"('{PERIODS[0]}', '{PERIODS[1]}')"
 
 
@@ -37,31 +46,31 @@ BASE = strata_sql(KEY_SQL, ARM, LOG)
 @query(f"{W}, {BASE} SELECT repository_id, delta, n AS \"rows\", k AS strata FROM repos", ["delta"])
 def matched_strata(spark, sf_dir):
     """M1 by repository: the weighted contrast of feature and repair sizes within repository, agent and quarter."""
-    return c.within_repositories(c.matched_strata(changes(spark, sf_dir), KEYS, FEATURE, "changed_lines"))
+    return c.within_repositories(c.matched_strata(changes(spark, sf_dir), KEYS, feature_arm(), "changed_lines"))
 
 
 @query(f"{W}, {BASE} {summary_sql('median')}", ["estimate"])
 def matched_contrast(spark, sf_dir):
     """M1 in one row."""
-    return c.contrast(c.matched_strata(changes(spark, sf_dir), KEYS, FEATURE, "changed_lines"))
+    return c.contrast(c.matched_strata(changes(spark, sf_dir), KEYS, feature_arm(), "changed_lines"))
 
 
 @query(f"{W}, {strata_sql('repository_id', ARM, LOG)} {summary_sql('median')}", ["estimate"])
 def matched_by_repository_only(spark, sf_dir):
     """M1 with repositories as the only strata."""
-    return c.contrast(c.matched_strata(changes(spark, sf_dir), ["repository_id"], FEATURE, "changed_lines"))
+    return c.contrast(c.matched_strata(changes(spark, sf_dir), ["repository_id"], feature_arm(), "changed_lines"))
 
 
 @query(f"{W}, {strata_sql(KEY_SQL, ARM, LOG, least=2)} {summary_sql('median')}", ["estimate"])
 def matched_contrast_two_each(spark, sf_dir):
     """At least two changes in each arm."""
-    return c.contrast(c.matched_strata(changes(spark, sf_dir), KEYS, FEATURE, "changed_lines", least=2))
+    return c.contrast(c.matched_strata(changes(spark, sf_dir), KEYS, feature_arm(), "changed_lines", least=2))
 
 
 @query(f"{W}, whole AS (SELECT * FROM changes WHERE files_complete), {strata_sql(KEY_SQL, ARM, LOG, 'whole')} {summary_sql('median')}", ["estimate"])
 def matched_contrast_complete(spark, sf_dir):
     """M2, F1: complete file lists only."""
-    return c.contrast(c.matched_strata(changes(spark, sf_dir).where("files_complete"), KEYS, FEATURE, "changed_lines"))
+    return c.contrast(c.matched_strata(changes(spark, sf_dir).where("files_complete"), KEYS, feature_arm(), "changed_lines"))
 
 
 TEXT_KEYS, RATE = 'agent, repository_id, task_type, "quarter"', "100.0 * (r1 - r0)"
@@ -95,18 +104,17 @@ def discussion_contrast_resolved(spark, sf_dir):
 def test_cochange_contrast(spark, sf_dir):
     """M5: how often tests change along, features against repairs, two of each at least."""
     df = changes(spark, sf_dir).where("touches_source")
-    return c.contrast(c.matched_strata(df, KEYS, FEATURE, "touches_test", "rate", 2), statistic="mean")
+    return c.contrast(c.matched_strata(df, KEYS, feature_arm(), "touches_test", "rate", 2), statistic="mean")
 
 
 PERIOD_ARM = f"CASE \"quarter\" WHEN '{PERIODS[1]}' THEN 1 WHEN '{PERIODS[0]}' THEN 0 END"
-PERIOD = F.when(F.col("quarter") == PERIODS[1], True).when(F.col("quarter") == PERIODS[0], False)
 
 
 @query(f"{W}, fix AS (SELECT * FROM changes WHERE task_type = 'bug_fix'), {strata_sql('repository_id, agent', PERIOD_ARM, LOG, 'fix')} {summary_sql('median')}", ["estimate"])
 def paired_period_contrast(spark, sf_dir):
     """M6: repair sizes in two quarters within repository and agent."""
     df = changes(spark, sf_dir).where("task_type = 'bug_fix'")
-    return c.contrast(c.matched_strata(df, ["repository_id", "agent"], PERIOD, "changed_lines"))
+    return c.contrast(c.matched_strata(df, ["repository_id", "agent"], period_arm(), "changed_lines"))
 
 
 FLAGS = ["merged", "touches_test", "touches_source", "cross_file", "files_complete"]
@@ -131,7 +139,7 @@ def paired_rates_family(spark, sf_dir):
     df = changes(spark, sf_dir)
     out = None
     for flag in FLAGS:
-        one = c.contrast(c.matched_strata(df, ["repository_id", "agent"], PERIOD, flag, "rate"), statistic="mean", eps=1e-10).select(F.lit(flag).alias("category"), "*")
+        one = c.contrast(c.matched_strata(df, ["repository_id", "agent"], period_arm(), flag, "rate"), statistic="mean", eps=1e-10).select(F.lit(flag).alias("category"), "*")
         out = one if out is None else out.unionByName(one)
     tested = c.holm(c.sign_test(out))
     return tested.select("category", "repositories", F.col("estimate").alias("mean_pp"), "positive", "negative", "tied", "p_sign", "p_holm")
@@ -158,8 +166,8 @@ kept AS (SELECT banded.* FROM banded JOIN both_arms USING ({KEY_SQL}, band) WHER
 def common_support_contrast(spark, sf_dir):
     """The contrast on changes whose stratum and size band hold both arms."""
     df = changes(spark, sf_dir).withColumn("band", bins(F.col("changed_lines"), [-1, 50, 200, float("inf")], ["a", "b", "c"]))
-    kept = c.common_support(df, [*KEYS, "band"], FEATURE)
-    return c.contrast(c.matched_strata(kept, KEYS, FEATURE, "touches_test", "rate"), statistic="mean")
+    kept = c.common_support(df, [*KEYS, "band"], feature_arm())
+    return c.contrast(c.matched_strata(kept, KEYS, feature_arm(), "touches_test", "rate"), statistic="mean")
 
 
 Z = c.Z95
@@ -187,7 +195,7 @@ SELECT (SELECT n FROM size) AS n, quantile_cont(s, 0.025) AS low, quantile_cont(
 @query(f"{W}, {BASE}, d AS (SELECT repository_id, delta AS v, 1.0 AS w FROM repos), {grid_sql('d', 'boot', 'median(v)')}", ["low", "high"])
 def bootstrap_median(spark, sf_dir):
     """The interval of the median over repositories."""
-    repos = c.within_repositories(c.matched_strata(changes(spark, sf_dir), KEYS, FEATURE, "changed_lines"))
+    repos = c.within_repositories(c.matched_strata(changes(spark, sf_dir), KEYS, feature_arm(), "changed_lines"))
     return c.bootstrap(repos, "delta", ["repository_id"], REPS, "median")
 
 

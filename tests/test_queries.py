@@ -2,6 +2,8 @@
 
 import glob
 import os
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -32,6 +34,11 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert rows(got) == rows(want)
 
 
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; assert e.queries() and e.oracle_sql()"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.abspath(entry.__file__)))
+
+
 def test_entry_runs(spark):
     assert entry.entry(spark).count() > 0
 
