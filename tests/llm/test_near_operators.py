@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,68 @@ def test_edit_distance_equals_the_table():
         assert [line_dedup.edits_within(x, y, k) for k in range(14)] == [distance(x, y) <= k for k in range(14)]
 
 
+def edited(draw, line, edits):
+    for _ in range(edits):
+        at, c = draw.randrange(len(line)), draw.choice("abcé xyz")
+        line = draw.choice((line[:at] + c + line[at:], line[:at] + line[at + 1 :], line[:at] + c + line[at + 1 :]))
+    return " ".join(line.split())
+
+
+def near(x, y):
+    return line_dedup.edits_within(x, y, max(len(x), len(y)) // 10)
+
+
+def test_similar_lines_under_the_bound_always_share_a_key():
+    draw = random.Random(8)
+    for _ in range(3000):
+        x = "".join(draw.choice("abcdeé ") for _ in range(draw.randint(20, 59)))
+        y = edited(draw, x, draw.randint(1, max(1, len(x) // 10)))
+        x = " ".join(x.split())
+        if x != y and 20 <= min(len(x), len(y)) and max(len(x), len(y)) < line_dedup.LONG and near(x, y):
+            points = np.frombuffer((x + y).encode("utf-32-le"), np.uint32)
+            line, key, _, leads = line_dedup._segment_keys(points, np.array([0, len(x)]), np.array([len(x), len(points)]))
+            both = set(key[line == 0].tolist()) & set(key[line == 1].tolist())
+            assert both & set(key[leads].tolist()), (x, y)
+
+
+def test_pair_filter_loses_nothing():
+    draw = random.Random(9)
+    xs = ["".join(draw.choice("abcdefgh ") for _ in range(draw.randint(20, 300))) for _ in range(400)]
+    ys = [edited(draw, x, draw.randint(0, len(x) // 6)) for x in xs]
+    most = np.array([max(len(x), len(y)) // 10 for x, y in zip(xs, ys, strict=True)])
+    maybe = line_dedup.may_be_similar(xs, ys, most)
+    assert all(p for x, y, k, p in zip(xs, ys, most, maybe, strict=True) if line_dedup.edits_within(x, y, int(k)))
+    assert not line_dedup.may_be_similar(xs[:-1], xs[1:], most[:-1]).all()
+
+
+def test_edited_lines_against_brute_force(spark):
+    draw = random.Random(10)
+    words = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyzé") for _ in range(draw.randint(2, 9))) for _ in range(400)]
+    lines = []
+    for n in (4, 5, 6, 8, 10, 12, 16, 20, 35, 50) * 6:
+        own = [draw.choice(words) for _ in range(n)]
+        line, other = " ".join(own), list(own)
+        other[draw.randrange(n)] = draw.choice(words)
+        lines += [line, " ".join(other), edited(draw, line, 2), edited(draw, line, max(1, len(line) * 7 // 100))]
+    lines = [x for x in dict.fromkeys(lines) if len(x) >= line_dedup.LEAST]
+    parent = list(range(len(lines)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, x in enumerate(lines):
+        for j in range(i):
+            if near(x, lines[j]):
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    found = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df).collect()}
+    assert sum(found.values()) > 100
+    assert {i for i, n in found.items() if not n} == {root(i) for i in range(len(lines))}
+
+
 def test_line_simhash_does_not_depend_on_neighbours(spark):
     texts = [f"x{i} y\n{LINE.format(0)}" for i in range(40)] + [LINE.format(0) + f"\nz{i}" for i in range(40)]
     df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
