@@ -333,6 +333,13 @@ def cleaned_requests(spark, sf_dir):
     return df.select("conv_id", "turn", x.clean(F.col("text"), 100).alias("cleaned"), (F.length("text") > 6000).alias("long"))
 
 
+@query("SELECT conv_id, turn, left(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 6000) AS cleaned, length(text) > 6000 AS long FROM conversations")
+def cleaned_requests_in_full(spark, sf_dir):
+    """P25: as cleaned_requests, with the operator's own limit."""
+    df = t(spark, sf_dir, "conversations")
+    return df.select("conv_id", "turn", x.clean(F.col("text")).alias("cleaned"), (F.length("text") > 6000).alias("long"))
+
+
 @query("""WITH k AS (SELECT conv_id, turn, (conv_id * 3 + turn) % 6 AS k FROM conversations) SELECT conv_id, turn, k = 0 OR k = 1 AS accepted, CASE k WHEN 0 THEN '' WHEN 1 THEN '' WHEN 2 THEN 'is_code_issue,no_categories,severity,confidence,quote_not_in_body,rationale' WHEN 3 THEN 'categories' WHEN 4 THEN 'quote_not_in_body' ELSE 'severity,confidence' END AS errors FROM k""")
 def validated_labels(spark, sf_dir):
     """Model outputs parsed, normalised and accepted or given reasons."""

@@ -46,3 +46,13 @@ def test_entry_runs(spark):
 def test_flagship_reads_only_what_it_needs(spark, sf_dir):
     plan = QUERIES["matched_strata"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "l_extendedprice" not in plan and "o_totalprice" not in plan and "Python" not in plan
+
+
+def test_cleaned_requests_keep_6000_characters(spark, tmp_path):
+    texts = [f"{'é b ' * (n // 4)}{'x' * (n % 4)}" for n in (0, 50, 101, 5999, 6000, 6001, 9000)] + ["a \n\t b  " * 1500, "y" * 6000 + " tail"]
+    spark.createDataFrame([(i, 0, "user", s) for i, s in enumerate(texts)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    found = {r["conv_id"]: (r["cleaned"], r["long"]) for r in QUERIES["cleaned_requests_in_full"](spark, str(tmp_path)).collect()}
+    assert found == {i: (" ".join(s.split())[:6000], len(s) > 6000) for i, s in enumerate(texts)}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {i: (c, n) for i, c, n in con.sql(f"SELECT conv_id, cleaned, long FROM ({ORACLES['cleaned_requests_in_full']})").fetchall()} == found
