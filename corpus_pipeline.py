@@ -46,14 +46,26 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the smallest id; of rows that repeat an id, one."""
-    groups = materialize(ngram_join.similar_groups(docs), "components")
-    worse = groups.where("component_id <> doc_id").select("doc_id")
-    again = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    flagged = probably_in(docs, worse.unionByName(again), "doc_id", flag="_touched")
+    """Of every group of linked texts the one with the smallest id; of rows equal in id and text, one.
+
+    Rows that repeat an id with different texts count as documents of their own. Rows without an id all stay.
+    """
+    named = docs.where(F.col("doc_id").isNotNull())
+    again = materialize(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    marked = named.withColumn("_again", F.lit(False)) if again.isEmpty() else probably_in(named, again, "doc_id", flag="_again")
+    marked = marked.withColumn("_row", F.when(F.col("_again"), F.xxhash64("doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id").cast("long")))
+    groups = ngram_join.similar_groups(marked, "_row").where("component_id <> _row").select("_row", "component_id").distinct()
+    groups = materialize(groups, "components")
+    members = groups.unionByName(groups.select(F.col("component_id").alias("_row"), "component_id").distinct())
+    own = materialize(marked.where("_again").select("_row", F.col("doc_id").cast("long").alias("_doc")).distinct(), "own-rows")
+    place = F.struct(F.coalesce("_doc", "_row").alias("doc"), "_row")
+    members = members.join(own, "_row", "left").select("_row", "component_id", place.alias("place"))
+    best = members.groupBy("component_id").agg(F.min("place").alias("best"))
+    worse = materialize(members.join(best, "component_id").where("place <> best").select("_row"), "worse")
+    flagged = probably_in(marked, worse.unionByName(own.select("_row")), "_row", flag="_touched")
     untouched = flagged.where(~F.col("_touched")).select(*docs.columns)
-    touched = flagged.where("_touched").select(*docs.columns).join(worse, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return untouched.unionByName(touched)
+    touched = flagged.where("_touched").select(*docs.columns, "_row").join(worse, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns)
+    return untouched.unionByName(touched).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,3 +202,15 @@ def test_pipeline_of_no_documents(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).agg(F.count("doc_id")).first()[0] == 0
+
+
+def test_near_copy_stage_keeps_unlinked_texts_and_rows_without_id(spark):
+    copied, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, copied), (5, copied + " end"), (5, other), (5, other), (7, "x y"), (7, None), (7, ""), (8, third), (8, third + " end"), (9, other + " end"), (3, third)]
+    rows += [(None, copied), (None, copied), (None, "own")] + [(100 + i, f"only {i}") for i in range(50)]
+    docs = spark.createDataFrame([(i, x, 0) for i, x in rows], "doc_id long, text string, n_chars long")
+    found = corpus_pipeline.near_copy_stage(spark, docs, "")
+    assert found.columns == docs.columns
+    got = [(r["doc_id"], r["text"]) for r in found.collect()]
+    want = [(1, copied), (5, other), (7, "x y"), (7, None), (7, ""), (3, third), *rows[11:]]
+    assert sorted(got, key=str) == sorted(want, key=str)
