@@ -29,15 +29,22 @@ def capped_sample(df: DataFrame, agent: str, day: str, id_col: str, repository:
     return capped.withColumn("rank", F.row_number().over(Window.partitionBy(agent).orderBy(*walk))).where(F.col("rank") <= per_agent).drop("turn")
 
 
+def _walked(turns: DataFrame, agent: str, day: str, repository: str, per_agent: int, per_repository: int) -> DataFrame:
+    """At most ``per_repository`` rows of each (day, repository), and of these the first 2 * ``per_agent`` of each day.
+
+    A day gives at most ``per_agent`` rows and skips no more: at most per_agent / per_repository repositories are full.
+    """
+    near = turns.withColumn("_r", F.row_number().over(Window.partitionBy(agent, day, repository).orderBy("turn"))).where(F.col("_r") <= per_repository)
+    return near.withColumn("_r", F.row_number().over(Window.partitionBy(agent, day).orderBy("turn"))).where(F.col("_r") <= 2 * per_agent)
+
+
 def round_robin_sample(df: DataFrame, agent: str, day: str, id_col: str, repository: str, seed: str, per_agent: int, per_repository: int) -> DataFrame:
     """Like ``capped_sample``, but a day whose next row is over its repository's cap offers its following row in the
     same turn, so every day gives a row in every turn while it can. Returns ``agent, id, rank``.
 
-    The walk depends on all earlier choices of the agent, so it runs per agent on what can matter: at most
-    ``per_repository`` rows of each (day, repository) and ``per_agent`` of each day that pass it.
+    The walk depends on all earlier choices of the agent, so it runs per agent on what can matter.
     """
-    turns = day_stratified(df, agent, day, id_col, seed)
-    near = turns.withColumn("_r", F.row_number().over(Window.partitionBy(agent, day, repository).orderBy("turn"))).where(F.col("_r") <= per_repository)
+    near = _walked(day_stratified(df, agent, day, id_col, seed), agent, day, repository, per_agent, per_repository)
     slim = near.select(F.col(agent).alias("agent"), F.col(day).cast("string").alias("day"), F.col(id_col).alias("id"), F.col(repository).alias("repository"), "turn")
 
     def walk(rows: pd.DataFrame) -> pd.DataFrame:

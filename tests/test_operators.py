@@ -76,6 +76,17 @@ def test_round_robin_equals_the_walk(spark, seed):
     assert walk <= 4
 
 
+def test_round_robin_walks_few_rows_of_a_day(spark):
+    draw = random.Random(4)
+    rows = [(i, f"d{i % 3}", min(draw.randrange(300), draw.randrange(300)) // 2, "a") for i in range(900)]
+    df = spark.createDataFrame(rows, "id int, day string, repo int, agent string")
+    turns = sampling.day_stratified(df, "agent", "day", "id", "s")
+    walked = sampling._walked(turns, "agent", "day", "repo", 14, 2).groupBy("day").count().collect()
+    assert [r["count"] for r in walked] == [28] * 3
+    few, many = (sorted(r["rank"] * 1000 + r["id"] for r in sampling.round_robin_sample(df, "agent", "day", "id", "repo", "s", n, 2).collect()) for n in (14, 450))
+    assert len(few) == 14 and many[:14] == few
+
+
 def test_matched_controls_are_greedy(spark, sf_dir):
     p = misc_queries._projects(spark, sf_dir).toPandas()
     got = misc_queries.matched_controls(spark, sf_dir).toPandas().sort_values("rank")
