@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialize, probably_in
+from .scratch import join_facts, materialize, probably_in
 
 
 def _fingerprint(edges: DataFrame) -> tuple:
@@ -45,41 +46,34 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return materialize(probably_in(keys, lead, "key").join(lead, "key").select("key", "id", "size", "at"), "keys")
 
 
-def link_groups(
-    keys: DataFrame,
-    verify: Callable[[DataFrame], DataFrame],
-    compatible: Callable[[Column, Column], Column],
-    rounds: int = 1,
-    shared: bool = False,
-) -> DataFrame:
-    """``id, component`` of all ids in verified links, given ``keys`` (key, id, size, at, leads).
+def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], ratio: float) -> DataFrame | None:
+    """``id, component`` of all ids in verified links, given shared ``keys`` (key, id, size, at); None without any key.
 
-    Any two linked rows share a key of which at least one member ``leads`` and where the two are ``compatible`` by what
-    they bring there (size, and a place ``at`` in their order). In each round every key compares its
-    smallest unspent member with its others, which is linear in the key's length, and spends it. Keys whose members
-    already are in one group are done. What is open after the last round is compared in full, but only across groups:
-    within a group no pair is needed. ``shared`` says that ``keys`` come from ``shared_keys``. So no link between groups is lost, and groups of copies never unfold into pairs.
+    Any two linked rows share a key where the two are ``compatible`` by what they bring there (size, and a place ``at``
+    in their order); compatible sizes are within a factor of ``ratio`` below 1. First every key compares its smallest
+    member with its others, which is linear in the key's length. Keys whose members already are in one group are done.
+    What is open then is compared in full, but only across groups and, by cells of size, between sizes that can be
+    compatible: within a group no pair is needed. So no link between groups is lost, and groups of copies never unfold
+    into pairs.
     """
-    open_keys = (keys if shared else shared_keys(keys)).withColumn("component", F.col("id"))
-    edges, groups = None, None
-    for turn in range(rounds + 1):
-        member = lambda name: F.struct("id", "size", "at", "component").alias(name)
-        if turn < rounds:
-            pivots = open_keys.groupBy("key").agg(F.min(F.struct("id", "size", "at", "component")).alias("p"))
-            met = open_keys.join(pivots, "key").select("key", "p", member("m")).where("m.id <> p.id")
-        else:
-            met = open_keys.select("key", member("p")).join(open_keys.select("key", member("m")), "key").where("p.id < m.id")
-        met = met.where("p.component <> m.component").where(compatible(F.col("p"), F.col("m")))
-        pairs = met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct()
-        found = materialize(verify(pairs), "links")
-        edges = found if edges is None else groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
-        groups = materialize(connected_components(edges), "groups")
-        if turn == rounds:
-            break
-        rest = open_keys.join(pivots.select("key", F.col("p.id").alias("pivot")), "key").where("id <> pivot").select("key", "id", "size", "at")
-        rest = rest.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        open_keys = materialize(rest.join(several, "key").select("key", "id", "size", "at", "component"), "keys")
-        if open_keys.isEmpty():
-            break
-    return groups
+    member = lambda name, *more: F.struct("id", "size", "at", *more).alias(name)
+    pivots = materialize(keys.groupBy("key").agg(F.min(F.struct("id", "size", "at")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
+    if pivots.isEmpty():
+        return None
+    met = join_facts(keys, pivots, "key").select("p", member("m")).where("m.id <> p.id").where(compatible(F.col("p"), F.col("m")))
+    found = verify(materialize(met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "pairs"))
+    groups = materialize(connected_components(found), "groups")
+
+    rest = keys.join(groups, "id", "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component"))
+    several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("copies")).where("lo <> hi").select("key", "copies")
+    several = materialize(several, "open-keys")
+    if several.isEmpty():
+        return groups
+    cell = F.floor(F.log("size") / (-math.log(ratio) * 1.001))
+    rest = materialize(join_facts(rest, several, "key").select("key", cell.alias("cell"), "id", "size", "at", "component"), "open")
+    small = rest.select("key", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), member("p", "component"))
+    met = small.join(rest.select("key", "cell", member("m", "component")), ["key", "cell"]).where("p.component <> m.component")
+    met = met.where("p.size < m.size or p.size = m.size and p.id < m.id").where(compatible(F.col("p"), F.col("m")))
+    found = verify(materialize(met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "pairs"))
+    edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
+    return materialize(connected_components(edges), "groups")

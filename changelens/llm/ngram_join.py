@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .groups import link_groups
+from .groups import link_groups, shared_keys
 from .scratch import materialize, probably_in
 
 WORDS = 5
@@ -238,6 +238,6 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = F.least(a["size"] - a["at"], b["size"] - b["at"])
         return rest * 7 >= (a["size"] + b["size"]) * 3
 
-    groups = link_groups(keys, verify, compatible)
+    groups = link_groups(shared_keys(keys), verify, compatible, 0.75)
     found = members.distinct().join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
     return info.join(found, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -77,3 +78,20 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def by_row(rows: np.ndarray, n: int) -> np.ndarray:
     """Where each of n rows begins and ends in a sorted array of row numbers."""
     return np.searchsorted(rows, np.arange(n + 1))
+
+
+def tidy(run: Callable) -> Callable:
+    """``run`` over batches of one task, after which the worker's unused memory goes back to the machine.
+
+    Workers are kept for later tasks; without this each would hold on to the most that any of its tasks needed.
+    """
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _powers[:] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return done
