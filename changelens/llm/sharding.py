@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from .scratch import materialize
 
 BITS = 32
-#: Bits looked at below the starting level before overflow pages take over.
-DEEPER = 12
+#: Bits looked at in one shuffle below the starting level; the next ones follow while oversized buckets are left.
+STEP = 8
 
 
 def hash_bits(key: Column) -> Column:
@@ -47,7 +47,7 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id",
         "shard-rows",
     )
     total = rows.agg(F.sum("n_bytes").alias("s")).first()["s"] or 0
-    start = min(BITS - 1, max(0, math.ceil(math.log2(max(1.0, total / limit_bytes)))))
+    start = min(BITS, max(0, math.ceil(math.log2(max(1.0, total / limit_bytes)))))
     keys = materialize(
         rows.groupBy("bits").agg(F.sum("n_bytes").alias("key_bytes"), F.count(F.lit(1)).alias("key_rows")).withColumn("cell", bit_prefix(F.col("bits"), start)),
         "shard-keys",
@@ -63,14 +63,19 @@ def extendible_shards(docs: DataFrame, limit_bytes: int, id_col: str = "doc_id",
             cells.withColumn("parent", parent).join(fitting.select("parent", F.lit(level).alias("fits")), "parent", "left").select("cell", "bytes", F.least("depth", "fits").alias("depth")),
             "shard-cells",
         )
-    # below the starting level: one shuffle by cell serves the sums of every deeper level
-    deepest = min(BITS, start + DEEPER)
-    sized = keys.join(cells.where("depth is null").select("cell"), "cell")
-    for level in range(start + 1, deepest + 1):
-        sized = sized.withColumn(f"b{level}", F.sum("key_bytes").over(Window.partitionBy("cell", bit_prefix(F.col("bits"), level))))
-    split = F.coalesce(*[F.when(F.col(f"b{level}") <= limit_bytes, F.lit(level)) for level in range(start + 1, deepest + 1)], F.lit(BITS + 1))
-    settled = keys.join(cells.where("depth is not null").select("cell", "depth"), "cell").select("bits", "depth", "key_rows")
-    directory = materialize(settled.unionByName(sized.select("bits", split.alias("depth"), "key_rows")), "shard-directory")
+    # below the starting level: one shuffle by cell serves the sums of the next STEP levels
+    directory = keys.join(cells.where("depth is not null").select("cell", "depth"), "cell").select("bits", "depth", "key_rows")
+    sized = materialize(keys.join(cells.where("depth is null").select("cell"), "cell"), "shard-oversized")
+    while start < BITS and not sized.isEmpty():
+        levels = range(start + 1, min(BITS, start + STEP) + 1)
+        for level in levels:
+            sized = sized.withColumn(f"b{level}", F.sum("key_bytes").over(Window.partitionBy("cell", bit_prefix(F.col("bits"), level))))
+        split = F.coalesce(*[F.when(F.col(f"b{level}") <= limit_bytes, F.lit(level)) for level in levels])
+        start = levels[-1]
+        sized = materialize(sized.select("bits", "key_bytes", "key_rows", bit_prefix(F.col("bits"), start).alias("cell"), split.alias("depth")), "shard-split")
+        directory = directory.unionByName(sized.where("depth is not null").select("bits", "depth", "key_rows"))
+        sized = sized.where("depth is null").drop("depth")
+    directory = materialize(directory.unionByName(sized.select("bits", F.lit(BITS + 1).alias("depth"), "key_rows")), "shard-directory")
 
     placed = rows.join(directory, "bits")
     bucket = placed.where(F.col("depth") <= BITS).withColumn("page", F.lit("0"))

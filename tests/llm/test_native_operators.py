@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,18 @@ def test_shard_depth_is_the_shortest_that_fits(spark, limit):
     for i, _ in rows[:60]:
         depth = next(d for d in range(33) if sum(len(t) for j, t in rows if bits[j] >> (32 - d) == bits[i] >> (32 - d)) <= limit)
         assert found[i] == depth
+
+
+def test_directory_goes_as_deep_as_it_takes(spark):
+    """Ids whose hashes share many bits are told apart by further ones, as in the operator's own SQL."""
+    bits = {i: int(hashlib.md5(str(i).encode()).hexdigest()[:8], 16) for i in range(60_000)}
+    ordered = sorted(bits, key=bits.get)
+    close = sorted(zip(ordered, ordered[1:], strict=False), key=lambda p: bits[p[0]] ^ bits[p[1]])[:12]
+    ids = sorted({117, 211, *(i for p in close for i in p)})
+    assert max(32 - (bits[a] ^ bits[b]).bit_length() for a, b in close) >= 24
+    df = spark.createDataFrame([(i, "x" * 70, "y") for i in ids], "doc_id long, text string, bits string")
+    found = sorted(map(tuple, sharding.extendible_shards(df, 100).collect()))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, "x" * 70) for i in ids])
+    assert found == sorted(con.sql(sharding.oracle(100)).fetchall())
