@@ -8,6 +8,7 @@ sequences use them). Pieces then take their places by rank within their length,
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ class FastIds:
 
     Texts are cut where the tokenizer's own pre-tokenizer cuts them: runs of letters, of numbers, of other signs, each
     with one space before it, English contractions, and white space. The class of a character is asked of the
-    tokenizer itself, so that its Unicode tables hold. The cache is emptied when it has ``most`` entries.
+    tokenizer itself, so that its Unicode tables hold. Added tokens are cut out first, as the library does. The cache is emptied when it has ``most`` entries.
     """
 
     LETTER, NUMBER, OTHER, SPACE, UNKNOWN = range(5)
@@ -44,7 +45,8 @@ class FastIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.find_added = re.compile("|".join(map(re.escape, self.added))).finditer if self.added else None
         self.classes = np.full(0x110000, self.UNKNOWN, np.uint8)
         self.most = most
         self._clear()
@@ -87,6 +89,12 @@ class FastIds:
                         start[stop] = True
         return start
 
+    def _added(self, texts: list[str], edges: np.ndarray) -> np.ndarray:
+        """Start and end of every added token, leftmost first and the longest of several."""
+        holders = [k for k, text in enumerate(texts) if any(t in text for t in self.added)]
+        spans = [(edges[k] + m.start(), edges[k] + m.end()) for k in holders for m in self.find_added(texts[k])]
+        return np.array(spans, np.int64).reshape(-1, 2)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts in a row, and the texts' offsets into them."""
         whole = "".join(texts)
@@ -96,7 +104,11 @@ class FastIds:
         if len(self.slots) > self.most:
             self._clear()
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        starts = np.flatnonzero(self._starts(points, edges))
+        added = self._added(texts, edges)
+        start = self._starts(points, np.union1d(edges, added.ravel()))
+        for a, b in added.tolist():
+            start[a + 1 : b] = False
+        starts = np.flatnonzero(start)
         ends = np.append(starts[1:], len(points))
         hashes, first, where = np.unique(textkit.range_hashes(points, starts, ends), return_index=True, return_inverse=True)
         keys = hashes.tolist()
@@ -155,7 +167,7 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_co
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * with_ids
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(textkit.tidy(run), schema)
 
 
 def pack_lengths(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
@@ -237,9 +249,12 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = 500) ->
     """``pieces`` (with ``id, piece, length``) plus ``sequence_id`` and ``offset``.
 
     Ranks within a length come from windows over (length, salt) with about ``per_group`` rows, plus the counts of the
-    salts before: one very common length is spread like any other.
+    salts before: one very common length is spread like any other. Full pieces are sequences of their own, numbered
+    below 0 where they stand. ``pieces`` must be a written table, so that numbers do not change.
     """
     spark = pieces.sparkSession
+    full = pieces.where(F.col("length") == capacity)
+    pieces = pieces.where(F.col("length") < capacity)
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = segments(pack_lengths(counts, capacity))
     salts = spark.createDataFrame([(x, -(-n // per_group)) for x, n in counts.items()], "length long, salts long")
@@ -261,7 +276,8 @@ def place(pieces: DataFrame, capacity: int = CAPACITY, per_group: int = 500) ->
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema.fields) + ", sequence_id long, offset long"
-    return ranked.select(*names, "rank").mapInArrow(run, schema)
+    alone = full.select(*names, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return ranked.select(*names, "rank").mapInArrow(run, schema).unionByName(alone)
 
 
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
