@@ -23,15 +23,15 @@ from pyspark.sql import functions as F
 
 from . import textkit
 from .groups import link_groups, shared_keys
-from .scratch import materialize, probably_in
+from .scratch import join_facts, materialize, probably_in
 
 WORDS = 5
 #: Links need 100 * intersection >= 75 * union, so a set of n can miss n // 4 of its elements and have a partner.
 #: Share of the hash range in which shingles are counted.
 REGION = int(0.4 * 2**40)
 MASK = 2**40 - 1
-#: Prefix length up to which subsets may be enumerated, whatever the lists cost.
-MOST_SUBSET_PREFIX = 16
+#: Longest prefix whose subsets may stand in one row; longer ones are always heavy, which is as exact.
+MOST_SUBSET_PREFIX = 64
 FLUSH = 400_000
 
 
@@ -179,27 +179,36 @@ def _sets(docs: DataFrame) -> DataFrame:
                 values = pa.array(np.concatenate(sets).view(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(ends), values)], ["id", "elements"])
 
-    return docs.select("id", "text").mapInArrow(run, "id long, elements array<long>")
+    return docs.select("id", "text").mapInArrow(textkit.tidy(run), "id long, elements array<long>")
+
+
+def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, data, offsets in textkit.chunks(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in shingle_sets(data, offsets)], pa.int64())], ["n"])
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row with an id: ``id_col, n_shingles, component_id``.
+    """One row per input row: ``id_col, n_shingles, component_id``.
 
     A text's set holds its distinct 5-word shingles; A-Z are lower-cased and words are runs without ASCII white space.
     With fewer words the whole sequence is the one element; null, empty and blank texts have none and link with
     nothing. Texts link if 100 * intersection >= 75 * union; the component is the smallest id reachable. Rows without
-    an id are left out. Rows that repeat an id share a component. An empty table gives an empty result.
+    an id have their size, no component, and link with nothing. Rows that repeat an id share a component. Ids are whole
+    numbers. An empty table gives an empty result.
     """
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-    bits = min(16, max(9, math.ceil(math.log2(max(1, own.count()) / 200))))
-    blocks = own.mapInArrow(_blocks(bits), "kind int, bucket int, base long, wide boolean, keys binary, docs binary, known binary")
+    bits = min(24, max(9, math.ceil(math.log2(max(1, own.count()) / 200))))
+    blocks = own.mapInArrow(textkit.tidy(_blocks(bits)), "kind int, bucket int, base long, wide boolean, keys binary, docs binary, known binary")
     counted = materialize(blocks.groupBy("bucket").applyInArrow(_count, _ROW), "shingles")
     info = counted.where("kind = 0").select(*_INFO)
     elsewhere = counted.where("kind = 1").groupBy("doc").agg(F.sum("repeated").alias("elsewhere"))
     unique = F.col("counted") - F.col("repeated") - F.coalesce("elsewhere", F.lit(0))
     alive = info.join(elsewhere, "doc", "left").where((F.col("n") > 0) & (unique <= F.floor(F.col("n") / 4))).select("doc", "n", "s1", "s2")
     alive = materialize(alive, "alive")
-    members = materialize(alive.join(alive.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep")), ["n", "s1", "s2"]).select("doc", "rep"), "members")
+    content = ("n", "s1", "s2")
+    classes = materialize(alive.groupBy(*content).agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")), "classes")
+    members = materialize(join_facts(alive, classes, *content).select("doc", "rep"), "members")
 
     # the sets that are left, and their prefixes in order of frequency among them
     sets = materialize(_sets(probably_in(own, members.where("doc = rep").select("doc"), "id")), "sets")
@@ -212,10 +221,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     average = F.aggregate(F.slice("listed", 1, F.greatest(F.lit(0), left).cast("int")), F.lit(0).cast("long"), lambda acc, e: acc + e["c"])
     reps = materialize(listed.select("id", "size", F.size("listed").alias("shared"), upto(left).alias("one"), upto(left + 1).alias("two"), average.alias("met")), "prefixes")
 
-    row = reps.agg((F.sum("met") / F.sum(F.size("one"))).alias("mean")).first()
-    # a set with prefix p costs about p * mean comparisons as lists, and p * (p + 1) / 2 keys as subsets
-    longest = min(MOST_SUBSET_PREFIX, max(1, int(2 * (row["mean"] or 1)) - 1))
-    boundary = 4 * longest - 1
+    # light sets cost their subsets as keys, heavy ones the lengths of their prefix elements' lists
+    level = F.least(F.floor(F.col("size") / 4) + 1, F.lit(MOST_SUBSET_PREFIX + 1))
+    subsets = F.size("two") * (F.size("two") - 1) / 2
+    costs = {r["level"]: r for r in reps.groupBy(level.alias("level")).agg(F.sum(subsets).alias("light"), F.sum("met").alias("heavy")).collect()}
+    cost = lambda longest: sum(r["light"] if p <= longest else r["heavy"] for p, r in costs.items())
+    boundary = 4 * min(range(1, MOST_SUBSET_PREFIX + 1), key=cost) - 1
     first = F.col("size") - F.col("shared")  # unique elements stand before all others
     pairs_of = F.flatten(
         F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.greatest(F.size("two") - i - 1, F.lit(0))), lambda y, j: F.struct(F.xxhash64(F.lit(2), x, y).alias("key"), (first + i + j).alias("at"))))
@@ -239,5 +250,14 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return rest * 7 >= (a["size"] + b["size"]) * 3
 
     groups = link_groups(shared_keys(keys), verify, compatible, 0.75)
-    found = members.distinct().join(groups.select(F.col("id").alias("rep"), "component"), "rep", "left").select("doc", F.coalesce("component", "rep").alias("component"))
-    return info.join(found, "doc", "left").select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    found = members.distinct()
+    if groups is None:
+        found = found.withColumnRenamed("rep", "component")
+    else:
+        sizes = classes.join(groups.withColumnRenamed("id", "rep"), "rep").groupBy("rep", "component").agg(F.sum("copies").alias("copies"))
+        linked = join_facts(found, sizes, "rep").select("doc", "component")
+        found = linked.unionByName(found.join(groups.select(F.col("id").alias("rep")), "rep", "left_anti").withColumnRenamed("rep", "component"))
+    found = info.join(found, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    nameless = docs.where(F.col(id_col).isNull()).select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
+    nameless = nameless.mapInArrow(textkit.tidy(_sizes), "n long").select(F.lit(None).cast("long").alias("doc"), "n", F.lit(None).cast("long").alias("component"))
+    return found.unionByName(nameless).select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))

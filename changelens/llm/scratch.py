@@ -68,7 +68,7 @@ def probably_in(rows: DataFrame, ids: DataFrame, column: str, flag: str | None =
     return joined.where(hit).select(*rows.columns) if flag is None else joined.select(*rows.columns, hit.alias(flag))
 
 
-def join_facts(rows: DataFrame, facts: DataFrame, key: str, share: int = 1000) -> DataFrame:
+def join_facts(rows: DataFrame, facts: DataFrame, *key: str, share: int = 1000) -> DataFrame:
     """Inner join of ``rows`` with ``facts`` (one row per ``key``, and ``copies``: how many of ``rows`` have it).
 
     Keys that hold more than one in ``share`` of the rows, fewer than ``share`` of them, are broadcast, so their rows
@@ -76,7 +76,7 @@ def join_facts(rows: DataFrame, facts: DataFrame, key: str, share: int = 1000) -
     """
     total = facts.agg(F.sum("copies")).first()[0] or 0
     hot = facts.where(F.col("copies") * share > total)
-    few = rows.join(F.broadcast(hot.drop("copies")), key)
+    few = rows.join(F.broadcast(hot.drop("copies")), list(key))
     names = few.columns
-    others = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts.where(F.col("copies") * share <= total).drop("copies"), key)
+    others = rows.join(F.broadcast(hot.select(*key)), list(key), "left_anti").join(facts.where(F.col("copies") * share <= total).drop("copies"), list(key))
     return few.unionByName(others.select(*names))
