@@ -46,7 +46,34 @@ def shared_keys(keys: DataFrame) -> DataFrame:
     return materialize(probably_in(keys, lead, "key").join(lead, "key").select("key", "id", "size", "at"), "keys")
 
 
-def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], ratio: float) -> DataFrame | None:
+def _pairs(met: DataFrame) -> DataFrame:
+    return met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct()
+
+
+def _member(name: str) -> Column:
+    return F.struct("id", "size", "at", "component").alias(name)
+
+
+def add_links(groups: DataFrame | None, found: DataFrame) -> DataFrame:
+    """The groups after the links ``found`` (a, b) are added."""
+    edges = found if groups is None else groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
+    return materialize(connected_components(edges), "groups")
+
+
+def open_keys(keys: DataFrame, groups: DataFrame | None) -> DataFrame | None:
+    """``key, id, size, at, component`` of the keys whose members are not in one group; None where there is none."""
+    if groups is None:
+        rest = keys.withColumn("component", F.col("id"))
+    else:
+        rest = keys.join(groups, "id", "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component"))
+    several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("copies")).where("lo <> hi").select("key", "copies")
+    several = materialize(several, "open-keys")
+    return None if several.isEmpty() else materialize(join_facts(rest, several, "key"), "open")
+
+
+def link_groups(
+    keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], ratio: float, groups: DataFrame | None = None
+) -> DataFrame | None:
     """``id, component`` of all ids in verified links, given shared ``keys`` (key, id, size, at); None without any key.
 
     Any two linked rows share a key where the two are ``compatible`` by what they bring there (size, and a place ``at``
@@ -54,26 +81,33 @@ def link_groups(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compa
     member with its others, which is linear in the key's length. Keys whose members already are in one group are done.
     What is open then is compared in full, but only across groups and, by cells of size, between sizes that can be
     compatible: within a group no pair is needed. So no link between groups is lost, and groups of copies never unfold
-    into pairs.
+    into pairs. ``groups`` are those known before.
     """
-    member = lambda name, *more: F.struct("id", "size", "at", *more).alias(name)
-    pivots = materialize(keys.groupBy("key").agg(F.min(F.struct("id", "size", "at")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
-    if pivots.isEmpty():
-        return None
-    met = join_facts(keys, pivots, "key").select("p", member("m")).where("m.id <> p.id").where(compatible(F.col("p"), F.col("m")))
-    found = verify(materialize(met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "pairs"))
-    groups = materialize(connected_components(found), "groups")
-
-    rest = keys.join(groups, "id", "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component"))
-    several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("copies")).where("lo <> hi").select("key", "copies")
-    several = materialize(several, "open-keys")
-    if several.isEmpty():
+    rest = open_keys(keys, groups)
+    if rest is None:
         return groups
-    cell = F.floor(F.log("size") / (-math.log(ratio) * 1.001))
-    rest = materialize(join_facts(rest, several, "key").select("key", cell.alias("cell"), "id", "size", "at", "component"), "open")
-    small = rest.select("key", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), member("p", "component"))
-    met = small.join(rest.select("key", "cell", member("m", "component")), ["key", "cell"]).where("p.component <> m.component")
+    pivots = materialize(rest.groupBy("key").agg(F.min(F.struct("id", "size", "at", "component")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
+    met = join_facts(rest, pivots, "key").select("p", _member("m")).where("p.component <> m.component").where(compatible(F.col("p"), F.col("m")))
+    groups = add_links(groups, verify(materialize(_pairs(met), "pairs")))
+    rest = open_keys(keys, groups)
+    if rest is None:
+        return groups
+    rest = rest.withColumn("cell", F.floor(F.log("size") / (-math.log(ratio) * 1.001)))
+    small = rest.select("key", F.explode(F.array("cell", F.col("cell") + 1)).alias("cell"), _member("p"))
+    met = small.join(rest.select("key", "cell", _member("m")), ["key", "cell"]).where("p.component <> m.component")
     met = met.where("p.size < m.size or p.size = m.size and p.id < m.id").where(compatible(F.col("p"), F.col("m")))
-    found = verify(materialize(met.select(F.least("p.id", "m.id").alias("a"), F.greatest("p.id", "m.id").alias("b")).distinct(), "pairs"))
-    edges = groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(found)
-    return materialize(connected_components(edges), "groups")
+    return add_links(groups, verify(materialize(_pairs(met), "pairs")))
+
+
+def link_short_lists(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], most: int) -> DataFrame | None:
+    """``id, component`` of all ids that verified links join: all pairs of keys with up to ``most`` members, and of the
+    others the smallest member with each. Linear in the number of rows."""
+    rest = open_keys(keys, None)
+    if rest is None:
+        return None
+    pivots = materialize(rest.groupBy("key").agg(F.min(F.struct("id", "size", "at", "component")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
+    long = join_facts(rest, pivots.where(F.col("copies") > most), "key").select("p", _member("m"))
+    short = rest.join(pivots.where(F.col("copies") <= most).select("key"), "key").select("key", _member("m"))
+    short = short.join(short.select("key", F.col("m").alias("p")), "key").select("p", "m")
+    met = long.unionByName(short).where("p.id < m.id").where(compatible(F.col("p"), F.col("m")))
+    return add_links(None, verify(materialize(_pairs(met), "pairs")))
