@@ -39,11 +39,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def shared_keys(keys: DataFrame) -> DataFrame:
-    """``key, id, size, at`` of the keys with several members of which one leads. Most keys have one member and are dropped
+    """``key, id, size, at, rank`` of the keys with several members of which one leads. Most keys have one member and are dropped
     by a broadcast bitmap of the others before rows are moved."""
     lead = keys.groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.max("leads").alias("led")).where("members > 1 and led").select("key")
     lead = materialize(lead, "lead")
-    return materialize(probably_in(keys, lead, "key").join(lead, "key").select("key", "id", "size", "at"), "keys")
+    return materialize(probably_in(keys, lead, "key").join(lead, "key").select("key", "id", "size", "at", "rank"), "keys")
 
 
 def _pairs(met: DataFrame) -> DataFrame:
@@ -61,11 +61,11 @@ def add_links(groups: DataFrame | None, found: DataFrame) -> DataFrame:
 
 
 def open_keys(keys: DataFrame, groups: DataFrame | None) -> DataFrame | None:
-    """``key, id, size, at, component`` of the keys whose members are not in one group; None where there is none."""
+    """``key, id, size, at, rank, component`` of the keys whose members are not in one group; None where there is none."""
     if groups is None:
         rest = keys.withColumn("component", F.col("id"))
     else:
-        rest = keys.join(groups, "id", "left").select("key", "id", "size", "at", F.coalesce("component", "id").alias("component"))
+        rest = keys.join(groups, "id", "left").select("key", "id", "size", "at", "rank", F.coalesce("component", "id").alias("component"))
     several = rest.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("copies")).where("lo <> hi").select("key", "copies")
     several = materialize(several, "open-keys")
     return None if several.isEmpty() else materialize(join_facts(rest, several, "key"), "open")
@@ -74,11 +74,11 @@ def open_keys(keys: DataFrame, groups: DataFrame | None) -> DataFrame | None:
 def link_groups(
     keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], ratio: float, groups: DataFrame | None = None
 ) -> DataFrame | None:
-    """``id, component`` of all ids in verified links, given shared ``keys`` (key, id, size, at); None without any key.
+    """``id, component`` of all ids in verified links, given shared ``keys`` (key, id, size, at, rank); None without any key.
 
     Any two linked rows share a key where the two are ``compatible`` by what they bring there (size, and a place ``at``
-    in their order); compatible sizes are within a factor of ``ratio`` below 1. First every key compares its smallest
-    member with its others, which is linear in the key's length. Keys whose members already are in one group are done.
+    in their order); compatible sizes are within a factor of ``ratio`` below 1. First every key compares its member
+    of the lowest rank (then id) with its others, which is linear in the key's length. Keys whose members already are in one group are done.
     What is open then is compared in full, but only across groups and, by cells of size, between sizes that can be
     compatible: within a group no pair is needed. So no link between groups is lost, and groups of copies never unfold
     into pairs. ``groups`` are those known before.
@@ -86,7 +86,7 @@ def link_groups(
     rest = open_keys(keys, groups)
     if rest is None:
         return groups
-    pivots = materialize(rest.groupBy("key").agg(F.min(F.struct("id", "size", "at", "component")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
+    pivots = materialize(rest.groupBy("key").agg(F.min(F.struct("rank", "id", "size", "at", "component")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
     met = join_facts(rest, pivots, "key").select("p", _member("m")).where("p.component <> m.component").where(compatible(F.col("p"), F.col("m")))
     groups = add_links(groups, verify(materialize(_pairs(met), "pairs")))
     rest = open_keys(keys, groups)
@@ -101,13 +101,14 @@ def link_groups(
 
 def link_short_lists(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], compatible: Callable[[Column, Column], Column], most: int) -> DataFrame | None:
     """``id, component`` of all ids that verified links join: all pairs of keys with up to ``most`` members, and of the
-    others the smallest member with each. Linear in the number of rows."""
+    others the member of the lowest rank with each. Linear in the number of rows."""
     rest = open_keys(keys, None)
     if rest is None:
         return None
-    pivots = materialize(rest.groupBy("key").agg(F.min(F.struct("id", "size", "at", "component")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
+    pivots = materialize(rest.groupBy("key").agg(F.min(F.struct("rank", "id", "size", "at", "component")).alias("p"), F.count(F.lit(1)).alias("copies")), "pivots")
     long = join_facts(rest, pivots.where(F.col("copies") > most), "key").select("p", _member("m"))
     short = rest.join(pivots.where(F.col("copies") <= most).select("key"), "key").select("key", _member("m"))
     short = short.join(short.select("key", F.col("m").alias("p")), "key").select("p", "m")
-    met = long.unionByName(short).where("p.id < m.id").where(compatible(F.col("p"), F.col("m")))
+    long, short = long.where("p.id <> m.id"), short.where("p.id < m.id")
+    met = long.select(F.struct("p.id", "p.size", "p.at", "p.component").alias("p"), "m").unionByName(short).where(compatible(F.col("p"), F.col("m")))
     return add_links(None, verify(materialize(_pairs(met), "pairs")))

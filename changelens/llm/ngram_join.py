@@ -232,7 +232,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.transform("two", lambda x, i: F.transform(F.slice("two", i + 2, F.greatest(F.size("two") - i - 1, F.lit(0))), lambda y, j: F.struct(F.xxhash64(F.lit(2), x, y).alias("key"), (first + i + j).alias("at"))))
     )
     lists_of = F.transform("one", lambda t, i: F.struct(F.xxhash64(F.lit(1), t).alias("key"), (first + i).alias("at")))
-    keyed = lambda rows, of, leads: rows.select(F.explode(of).alias("k"), "id", "size", leads.alias("leads")).select("k.key", "id", "size", F.col("k.at").alias("at"), "leads")
+    keyed = lambda rows, of, leads: rows.select(F.explode(of).alias("k"), "id", "size", leads.alias("leads")).select("k.key", "id", "size", F.col("k.at").alias("at"), F.lit(0).alias("rank"), "leads")
     light = keyed(reps.where((F.col("size") <= boundary) & (F.col("size") > 2)), pairs_of, F.lit(True))
     heavy = keyed(reps.where(F.col("size") * 4 >= F.lit(boundary * 3)), lists_of, F.col("size") > boundary)
     keys = light.unionByName(heavy)
