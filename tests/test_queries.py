@@ -6,6 +6,7 @@ import subprocess
 import sys
 
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
@@ -23,7 +24,7 @@ def duck(request):
 
 def rows(frame):
     frame = frame[sorted(frame.columns)].astype(object)
-    plain = lambda v: None if v is None or v != v else repr(float(v)) if isinstance(v, float) else str(v)
+    plain = lambda v: None if v is None or v is pd.NA or v != v else repr(float(v)) if isinstance(v, float) else str(v)
     return sorted((tuple(map(plain, r)) for r in frame.values.tolist()), key=str)
 
 
