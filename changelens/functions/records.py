@@ -170,3 +170,15 @@ def repository_exclusion(language: Column, topics: Column, description: Column)
         .when(F.lower(F.coalesce(description, F.lit(""))).rlike(RESOURCE_DESCRIPTION), "resource_collection_description")
         .otherwise("")
     )
+
+
+def actor_flags(author: Column, merger: Column) -> dict[str, Column]:
+    """Whether the author's and the merger's accounts are known, and are one; unknown accounts are not the same."""
+    there = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    same = there(author) & there(merger) & F.coalesce(F.lower(author) == F.lower(merger), F.lit(False))
+    return {"author_known": there(author), "merger_known": there(merger), "same_author_merger": same}
+
+
+def suppressed(value: Column, n: Column, least: int = 20) -> Column:
+    """``value``, or null where it rests on fewer than ``least`` rows."""
+    return F.when(n >= least, value)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import share
@@ -83,3 +83,20 @@ def agent_table(rolled: DataFrame, agent: str) -> DataFrame:
     low, high = wilson(F.col("reviewed"), F.col("n"))
     ilow, ihigh = wilson(F.col("issues"), F.col("reviewed"))
     return sums.select(agent, "n", "reviewed", "issues", low.alias("coverage_low"), high.alias("coverage_high"), ilow.alias("issue_low"), ihigh.alias("issue_high"))
+
+
+def label_stats(human: str, text: str) -> dict[str, Column]:
+    """The statistics of a group of labelled changes, by column name."""
+    n = F.count(F.lit(1))
+    flags = {"human": human, "text": text, "cross": "cross_file", "merged": "merged"}
+    out = {"n": n}
+    for name, flag in flags.items():
+        out |= {f"{name}_n": F.count_if(flag), f"{name}_pct": share(F.count_if(flag), n)}
+    out["files_median"] = F.percentile("changed_files", F.lit(0.5))
+    return out | {f"lines_{k}": F.percentile("changed_lines", F.lit(p)) for k, p in (("median", 0.5), ("q25", 0.25), ("q75", 0.75))}
+
+
+def grouped_label_stats(df: DataFrame, keys: Sequence[str], sets: Sequence[Sequence[str]], stats: dict[str, Column]) -> DataFrame:
+    """``stats`` over each set of keys in one pass; keys outside a set are "" and ``grouped`` tells which (as GROUPING_ID)."""
+    sums = df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in keys]).agg(F.grouping_id(*keys).cast("int").alias("grouped"), *[c.alias(k) for k, c in stats.items()])
+    return sums.select(*[F.coalesce(c, F.lit("")).alias(c) for c in keys], "grouped", *stats)

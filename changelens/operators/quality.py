@@ -63,3 +63,10 @@ def pinned(existing: DataFrame, wanted: dict[str, str]) -> dict[str, tuple]:
     """Parameters (name, value) of a data set that differ from the wanted ones; empty if work may be appended."""
     have = {r["name"]: r["value"] for r in existing.where(F.col("name").isin(*wanted)).collect()}
     return {k: (have[k], v) for k, v in wanted.items() if k in have and have[k] != v}
+
+
+def exclusion_ledger(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """The rows that no rule excludes, and every excluded row with ``reason``: the first rule, in order, that holds."""
+    reason = F.coalesce(*[F.when(rule, F.lit(name)) for name, rule in rules.items()])
+    marked = df.withColumn("reason", reason)
+    return marked.where(F.col("reason").isNull()).drop("reason"), marked.where(F.col("reason").isNotNull())

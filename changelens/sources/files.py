@@ -66,10 +66,14 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def content_fingerprint(spark: SparkSession, path: str) -> DataFrame:
-    """``file, lines, checksum``: independent of how large files are split; the same lines in any order give the same."""
+def content_fingerprint(spark: SparkSession, path: str, by_file: bool = True) -> DataFrame:
+    """``file, lines, checksum``: independent of how large files are split; the same lines in any order give the same.
+
+    Without ``by_file`` all files together give one row, the same however their lines are dealt over them.
+    """
     lines = spark.read.option("lineSep", "\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.xxhash64("value").alias("h"))
-    return lines.groupBy("file").agg(F.count(F.lit(1)).alias("lines"), F.bit_xor("h").alias("mixed"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("added")).select("file", "lines", F.concat_ws(":", "mixed", "added").alias("checksum"))
+    sums = lines.groupBy("file" if by_file else F.lit("all").alias("file")).agg(F.count(F.lit(1)).alias("lines"), F.bit_xor("h").alias("mixed"), F.sum(F.pmod("h", F.lit(1 << 31))).alias("added"))
+    return sums.select("file", "lines", F.concat_ws(":", "mixed", "added").alias("checksum"))
 
 
 def unchanged(before: DataFrame, after: DataFrame, columns: Sequence[str]) -> bool:
