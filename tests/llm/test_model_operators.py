@@ -133,6 +133,15 @@ def test_mixture_moves_to_its_targets(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_mixture_keeps_columns_and_takes_null_topics(spark):
+    rows = [(i, "word " * (i % 9), "en", "s", None if i % 3 else "t", "own", 2.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, t string, _mix string, _weight double")
+    decided = mixing.decide(df, topic=F.col("t"))
+    assert decided.columns[:-1] == df.columns
+    found = decided.select("*", f"{decided.columns[-1]}.*").collect()
+    assert len(found) == 60 and {(r["_mix"], r["_weight"]) for r in found} == {("own", 2.0)} and {r["topic"] for r in found} == {"t", mixing.NONE}
+
+
 def test_quality_on_held_out_rows(spark):
     found = queries.op7_quality(spark, SF).join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("held_out")
     right = found.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int")), F.count("quality")).first()
