@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from changelens.llm import line_dedup, mixing, ngram_join, packing, quality, textkit
-from changelens.llm.scratch import materialize, probably_in, table
+from changelens.llm.scratch import fresh, materialize, probably_in, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +34,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
                 good = model.predict(quality.statistics(data, offsets)) >= 0.5
                 yield batch.slice(first, last - first).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(textkit.tidy(keep), docs.schema)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,27 +50,29 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows that repeat an id with different texts count as documents of their own. Rows without an id all stay.
     """
+    again, row, own_id, touched = fresh(docs.columns, "_again", "_row", "_doc", "_touched")
     named = docs.where(F.col("doc_id").isNotNull())
-    again = materialize(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
-    marked = named.withColumn("_again", F.lit(False)) if again.isEmpty() else probably_in(named, again, "doc_id", flag="_again")
-    marked = marked.withColumn("_row", F.when(F.col("_again"), F.xxhash64("doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id").cast("long")))
-    groups = ngram_join.similar_groups(marked, "_row").where("component_id <> _row").select("_row", "component_id").distinct()
+    repeated = materialize(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated-ids")
+    marked = named.withColumn(again, F.lit(False)) if repeated.isEmpty() else probably_in(named, repeated, "doc_id", flag=again)
+    marked = marked.withColumn(row, F.when(F.col(again), F.xxhash64("doc_id", F.col("text").isNull(), "text")).otherwise(F.col("doc_id").cast("long")))
+    groups = ngram_join.similar_groups(marked.select(row, "text"), row).where(F.col("component_id") != F.col(row)).select(F.col(row).alias("row"), "component_id").distinct()
     groups = materialize(groups, "components")
-    members = groups.unionByName(groups.select(F.col("component_id").alias("_row"), "component_id").distinct())
-    own = materialize(marked.where("_again").select("_row", F.col("doc_id").cast("long").alias("_doc")).distinct(), "own-rows")
-    place = F.struct(F.coalesce("_doc", "_row").alias("doc"), "_row")
-    members = members.join(own, "_row", "left").select("_row", "component_id", place.alias("place"))
+    members = groups.unionByName(groups.select(F.col("component_id").alias("row"), "component_id").distinct())
+    own = materialize(marked.where(again).select(F.col(row).alias("row"), F.col("doc_id").cast("long").alias(own_id)).distinct(), "own-rows")
+    place = F.struct(F.coalesce(own_id, "row").alias("doc"), "row")
+    members = members.join(own, "row", "left").select("row", "component_id", place.alias("place"))
     best = members.groupBy("component_id").agg(F.min("place").alias("best"))
-    worse = materialize(members.join(best, "component_id").where("place <> best").select("_row"), "worse")
-    flagged = probably_in(marked, worse.unionByName(own.select("_row")), "_row", flag="_touched")
-    untouched = flagged.where(~F.col("_touched")).select(*docs.columns)
-    touched = flagged.where("_touched").select(*docs.columns, "_row").join(worse, "_row", "left_anti").dropDuplicates(["_row"]).select(*docs.columns)
-    return untouched.unionByName(touched).unionByName(docs.where(F.col("doc_id").isNull()))
+    worse = materialize(members.join(best, "component_id").where("place <> best").select(F.col("row").alias(row)), "worse")
+    flagged = probably_in(marked, worse.unionByName(own.select(F.col("row").alias(row))), row, flag=touched)
+    untouched = flagged.where(~F.col(touched)).select(*docs.columns)
+    some = flagged.where(touched).select(*docs.columns, row).join(worse, row, "left_anti").dropDuplicates([row]).select(*docs.columns)
+    return untouched.unionByName(some).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The sampled documents."""
-    return mixing.decide(docs).where("_mix.sampled").select(*docs.columns)
+    decided = mixing.decide(docs)
+    return decided.where(F.col(decided.columns[-1])["sampled"]).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +82,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 STAGES = [("quality", quality_stage), ("line_dedup", line_stage), ("ngram_join", near_copy_stage), ("mixing", mixing_stage), ("packing", packing_stage)]
 
-#: SQL cannot express trained trees, SimHash groups and tokens; tests compare with a brute-force version instead.
+#: SQL cannot express trained trees, groups of similar lines and tokens; tests compare with a brute-force version instead.
 ORACLE_SQL = None
 
 
