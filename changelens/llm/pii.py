@@ -2,8 +2,10 @@
 
 Generators propose spans: four strict patterns with checks (e-mail, ip, card, phone), which always stay, and three
 loose high-recall ones (anything around an "@", digit runs with separators, long hexadecimal runs), which overlap them
-freely. Loose candidates are described by coarse format and context features; the strict checks serve as labels.
-Since features are binned, all candidates of the corpus collapse to a contingency table whose size the bins bound, so
+freely. What can be added is a loose candidate that no strict span overlaps, so the trees learn on just these, by
+coarse format and context features. Positives are the strict spans in a disturbed format (spaces around the "@", dots
+in a card number, no plus) at their own place, and hexadecimal runs assigned in quotes; all other candidates are negatives.
+Since features are binned, all examples of the corpus collapse to a contingency table whose size the bins bound, so
 boosted trees are fitted on everything, exactly, from that table. The trees become CASE expressions, evaluated where
 the text is. A threshold per generator, calibrated on held-out documents, selects the extra redactions.
 
@@ -86,20 +88,60 @@ def matches(text: Column, kind: str) -> Column:
     )
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often it occurs there."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(items: Column, state: Column, step, emit, out: str) -> Column:
+    """array<out>: ``emit(state, item)`` for each item in order, with ``state = step(state, item)`` after it.
+
+    An array grows by copying, so one accumulator would cost the square of its length. Runs of about the root of the
+    length are scanned into arrays of their own and joined at the end: n to the 1.5 in all.
+    """
+    root = lambda a: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(a))).cast("int"))
+    cut = lambda a: let(root(a), lambda run: F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / run).cast("int")), lambda i: F.slice(a, i * run + 1, run)))
+    inside = lambda before, part: F.aggregate(
+        part,
+        F.struct(before.alias("now"), F.expr(f"cast(array() as array<{out}>)").alias("out")),
+        lambda acc, m: F.struct(step(acc["now"], m).alias("now"), F.concat(acc["out"], F.array(emit(acc["now"], m))).alias("out")),
+    )
+    whole = lambda a: F.aggregate(
+        cut(a),
+        F.struct(state.alias("now"), F.expr(f"cast(array() as array<array<{out}>>)").alias("out")),
+        lambda acc, part: let(inside(acc["now"], part), lambda done: F.struct(done["now"].alias("now"), F.concat(acc["out"], F.array(done["out"])).alias("out"))),
+        lambda acc: F.flatten(acc["out"]),
+    )
+    return let(items, lambda a: F.when(F.size(a) > 0, whole(a)).otherwise(F.expr(f"cast(array() as array<{out}>)")))
+
+
+FOUND = "struct<s:int,e:int,val:string,left:string>"
+
+
 def positioned(found: Column) -> Column:
     """Adds start and end to each match; the last piece of ``split`` has no match and goes."""
-    start = F.struct(F.lit(0).alias("pos"), F.expr("cast(array() as array<struct<s:int,e:int,val:string,left:string>>)").alias("out"))
-    return F.aggregate(
+    return scan(
         F.filter(found, lambda m: m["val"].isNotNull()),
-        start,
-        lambda acc, m: F.struct(
-            (acc["pos"] + m["gap"] + m["len"]).alias("pos"),
-            F.concat(acc["out"], F.array(F.struct((acc["pos"] + m["gap"]).alias("s"), (acc["pos"] + m["gap"] + m["len"]).alias("e"), m["val"].alias("val"), m["left"].alias("left")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
+        F.lit(0),
+        lambda pos, m: pos + m["gap"] + m["len"],
+        lambda pos, m: F.struct((pos + m["gap"]).alias("s"), (pos + m["gap"] + m["len"]).alias("e"), m["val"].alias("val"), m["left"].alias("left")),
+        FOUND,
     )
 
 
+def free_of(base: Column, loose: Column, item: str) -> Column:
+    """The ``loose`` spans (structs of type ``item``) that overlap no ``base`` span, by two scans in order of position."""
+    mark = lambda is_loose: lambda m: F.struct(m["s"].alias("s"), F.lit(is_loose).alias("loose"), m["e"].alias("e"), (m if is_loose else F.lit(None).cast(item)).alias("item"))
+
+    def judge(both: Column) -> Column:
+        ends = scan(both, F.lit(0), lambda end, m: F.when(m["loose"], end).otherwise(F.greatest(end, m["e"])), lambda end, m: end <= m["s"], "boolean")
+        starts = scan(F.reverse(both), F.lit(2**31 - 1), lambda start, m: F.when(m["loose"], start).otherwise(m["s"]), lambda start, m: start >= m["e"], "boolean")
+        judged = F.zip_with(both, F.zip_with(ends, F.reverse(starts), lambda x, y: x & y), lambda m, alone: F.struct((alone & m["loose"]).alias("free"), m["item"].alias("item")))
+        return F.transform(F.filter(judged, lambda m: m["free"]), lambda m: m["item"])
+
+    return let(F.array_sort(F.concat(F.transform(base, mark(False)), F.transform(loose, mark(True)))), judge)
+
+
 #: Features of a loose candidate and the number of values each can take; their product bounds the table.
 FEATURES = {"kind": 3, "digits": 6, "share": 4, "length": 5, "seps": 3, "plus": 2, "secret": 2, "contact": 2, "payment": 2, "dotted": 3}
 
@@ -123,11 +165,19 @@ def features(kind: str, c: Column) -> list[Column]:
     ]
 
 
-def label(kind: str, c: Column, base: Column) -> Column:
-    """What a check outside the features says: a strict span inside the candidate, or a quoted assignment before it."""
-    if kind == "secret_like":
-        return c["left"].rlike(r"""[=:]\s*["']$""")
-    return F.exists(base, lambda b: (b["s"] >= c["s"]) & (b["e"] <= c["e"]))
+#: The loose generator whose spans a strict kind looks like once its format is changed.
+LOOSE_OF = {"email": "mail_like", "ip": "number_like", "card": "number_like", "phone": "number_like"}
+
+
+def disturbed(kind: str, value: Column) -> Column:
+    """A strict span as people also write it, in a form that no strict pattern takes whole."""
+    if kind == "email":
+        return F.replace(value, F.lit("@"), F.lit(" @ "))
+    if kind == "ip":
+        return F.replace(value, F.lit("."), F.lit(". "))
+    if kind == "card":
+        return F.regexp_replace(digits_of(value), "([0-9]{4})(?=[0-9])", "$1.")
+    return F.substring(value, 2, 2**31 - 1)
 
 
 def _valid_match(kind: str):
@@ -138,10 +188,18 @@ def _base_span(kind: str):
     return lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e"))
 
 
+def _disturbed_span(kind: str):
+    return lambda m: F.struct(*features(LOOSE_OF[kind], {"val": disturbed(kind, m["val"]), "left": m["left"]}))
+
+
 def _loose_span(kind: str):
-    return lambda m: F.struct(
-        F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e"), label(kind, m, F.col("base")).alias("y"), F.struct(*features(kind, m)).alias("x")
-    )
+    """A loose candidate; a hexadecimal run counts as a secret where it is assigned in quotes, which no feature sees."""
+    secret = quoted if kind == "secret_like" else lambda left: F.lit(False)
+    return lambda m: F.struct(F.lit(kind).alias("kind"), m["s"].alias("s"), m["e"].alias("e"), secret(m["left"]).alias("y"), F.struct(*features(kind, m)).alias("x"))
+
+
+def quoted(left: Column) -> Column:
+    return left.rlike(r"""[=:]\s*["']$""")
 
 
 class Boosted:
@@ -230,24 +288,21 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
     may = {k: F.col("t").rlike("@" if "mail" in k else "[0-9]") for k in PATTERNS} | {"phone": F.col("t").contains("+")}
     nothing = F.expr("cast(array() as array<struct<gap:int,len:int,val:string,left:string>>)")
     found = raw.select("id", *[F.when(may[k], matches(F.col("t"), k)).otherwise(nothing).alias(k) for k in PATTERNS])
-    found = found.select("id", *[F.when(F.size(k) > 1, positioned(F.col(k))).otherwise(F.expr("cast(array() as array<struct<s:int,e:int,val:string,left:string>>)")).alias(k) for k in PATTERNS])
+    found = found.select("id", *[F.when(F.size(k) > 1, positioned(F.col(k))).otherwise(F.expr(f"cast(array() as array<{FOUND}>)")).alias(k) for k in PATTERNS])
     found = found.select("id", *[F.filter(k, _valid_match(k)).alias(k) for k in BASE_KINDS], *LOOSE_KINDS)
     spans = found.select(
         "id",
         F.concat(*[F.transform(k, _base_span(k)) for k in BASE_KINDS]).alias("base"),
-        *LOOSE_KINDS,
-    )
-    spans = spans.select(
-        "id",
-        "base",
-        F.concat(*[
-            F.transform(k, _loose_span(k)) for k in LOOSE_KINDS
-        ]).alias("loose"),
+        F.concat(*[F.transform(k, _disturbed_span(k)) for k in BASE_KINDS]).alias("seen"),
+        F.concat(*[F.transform(k, _loose_span(k)) for k in LOOSE_KINDS]).alias("loose"),
     )
-    spans = materialize(spans, "pii-spans")
+    item = f"struct<kind:string,s:int,e:int,y:boolean,x:struct<{','.join(f'{f}:int' for f in FEATURES)}>>"
+    alone = F.when((F.size("base") > 0) & (F.size("loose") > 0), free_of(F.col("base"), F.col("loose"), item)).otherwise(F.col("loose"))
+    spans = materialize(spans.select("id", "base", "seen", alone.alias("loose")), "pii-spans")
+    told = F.concat(F.transform("seen", lambda x: F.struct(F.lit(True).alias("y"), x.alias("x"))), F.transform("loose", lambda c: F.struct(c["y"].alias("y"), c["x"].alias("x"))))
     counts = (
-        spans.where(F.size("loose") > 0)
-        .select(F.pmod(F.xxhash64("id"), F.lit(5)).alias("fold"), F.explode("loose").alias("c"))
+        spans.where((F.size("loose") > 0) | (F.size("seen") > 0))
+        .select(F.pmod(F.xxhash64("id"), F.lit(5)).alias("fold"), F.explode(told).alias("c"))
         .groupBy((F.col("fold") == 0).alias("held"), *[F.col(f"c.x.{f}").alias(f) for f in FEATURES])
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("c.y").alias("pos"))
         .orderBy("held", *FEATURES)
@@ -261,7 +316,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pr
         check = held if (n * held).sum() else 1 - held
         cuts = thresholds(model, x, n * check, pos * check, precision)
         cut = lambda c: sum((F.when(c["kind"] == k, F.lit(v)).otherwise(F.lit(0.0)) for k, v in zip(LOOSE_KINDS, cuts, strict=True)), F.lit(0.0))
-        chosen = F.filter("loose", lambda c: (model.column(c["x"]) >= cut(c)) & ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
+        chosen = F.filter("loose", lambda c: model.column(c["x"]) >= cut(c))
         extra = F.transform(chosen, lambda c: F.struct(c["kind"].alias("kind"), c["s"].alias("s"), c["e"].alias("e")))
     return spans.select(F.col("id").alias(id_col), "base", extra.alias("extra"))
 

@@ -144,3 +144,33 @@ def test_directory_goes_as_deep_as_it_takes(spark):
     con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, "x" * 70) for i in ids])
     assert found == sorted(con.sql(sharding.oracle(100)).fetchall())
+
+
+def test_free_spans_against_brute_force(spark):
+    draw = random.Random(11)
+    cases = []
+    for i in range(60):
+        spans = lambda n: [(a, a + draw.randint(1, 6)) for a in (draw.randint(0, 80) for _ in range(n))]
+        cases.append((i, spans(draw.randint(0, 9)), spans(draw.randint(0, 30))))
+    df = spark.createDataFrame(cases, "id long, base array<struct<s:int,e:int>>, loose array<struct<s:int,e:int>>")
+    got = {r["id"]: sorted(map(tuple, r["free"])) for r in df.select("id", pii.free_of(F.col("base"), F.col("loose"), "struct<s:int,e:int>").alias("free")).collect()}
+    want = {i: sorted(c for c in loose if not any(s < c[1] and c[0] < e for s, e in base)) for i, base, loose in cases}
+    assert got == want
+
+
+def test_pii_trees_add_disturbed_formats(spark):
+    """Mail addresses with spaces around the "@", after words that announce one, are found though no strict pattern takes them."""
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choices("abcdefgh", k=6))
+    texts = [f"{word()} contact: {word()}@{word()}.org and {word()} {word()} on {draw.randint(10**6, 10**7)}" for _ in range(300)]
+    texts += [f"{word()} contact: {word()} @ {word()}.org {word()}" for _ in range(5)]
+    rows = pii.find_pii(docs_of(spark, texts)).collect()
+    extra = {r["doc_id"]: [s["kind"] for s in r["extra"]] for r in rows}
+    assert sum(extra[i] == ["mail_like"] for i in range(300, 305)) == 5
+    assert not any(extra[i] for i in range(300))
+
+
+def test_pii_of_a_very_long_text(spark):
+    text = "12 34.5 a@b.co " * 12_000
+    (row,) = pii.find_pii(docs_of(spark, [text])).select(F.size("base").alias("n"), F.element_at("base", -1).alias("last")).collect()
+    assert row["n"] == 12_000 and (row["last"]["s"], row["last"]["e"]) == (len(text) - 7, len(text) - 1)
