@@ -143,41 +143,43 @@ def stem_tokens(path: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(F.regexp_replace(stem(path), r"([a-z0-9])([A-Z])", r"$1_$2")), r"[-.]", "_"), "_", -1)
 
 
-def module_evidence(path: Column, kind: Column, strict: bool = False, parsed: Parsed | None = None) -> Column:
-    """array<struct<module, evidence>>; ``strict`` takes directory names only. Explicit test paths give none."""
-    p = parsed or Parsed(path)
+def _module_rules(strict: bool, kind: Column, p: Parsed) -> list[tuple[str, Column, list[tuple[Column, Column]]]]:
+    """(module, whether the file can count at all, [(condition, its evidence as an array)])."""
     dirs, end, name = p.dirs, p.suffix, p.name
     test = F.exists(dirs, lambda d: d.rlike(r"(^|[._-])(tests?|specs?)([._-]|$)")) | name.rlike(r"(tests?|specs?)\.(cs|java|kt|swift)$")
-    nothing = F.array().cast("array<string>")
 
-    def only(condition: Column, evidence: Column) -> Column:
-        return F.when(condition, F.array(evidence)).otherwise(nothing)
+    def common(words: Column, known: list[str]) -> tuple[Column, Column]:
+        return F.arrays_overlap(words, _words(known)), F.array_sort(F.array_intersect(words, _words(known)))
 
     found = []
     for module in MODULES[:-1]:
-        seen = [F.array_sort(F.array_intersect(dirs, _words(MODULE_DIRECTORIES[module])))]
+        seen = [common(dirs, MODULE_DIRECTORIES[module])]
         if not strict:
-            tokens = F.transform(F.array_sort(F.array_intersect(p.tokens, _words(MODULE_TOKENS[module]))), lambda t: F.concat(F.lit("file:"), t))
-            seen.append(tokens if module == "interface" else F.when(end.isin(*MARKUP_SUFFIXES), nothing).otherwise(tokens))
+            hit, tokens = common(p.tokens, MODULE_TOKENS[module])
+            seen.append((hit if module == "interface" else hit & ~end.isin(*MARKUP_SUFFIXES), F.transform(tokens, lambda t: F.concat(F.lit("file:"), t))))
             if module == "interface":
-                seen.append(only(end.isin(*INTERFACE_SUFFIXES), F.concat(F.lit("extension:"), end)))
+                seen.append((end.isin(*INTERFACE_SUFFIXES), F.array(F.concat(F.lit("extension:"), end))))
             if module == "storage":
-                seen.append(only(end == ".sql", F.lit("extension:.sql")))
+                seen.append((end == ".sql", F.array(F.lit("extension:.sql"))))
         found.append((module, (kind == "source_candidate") & ~test, seen))
-    seen = [
-        F.array_sort(F.array_intersect(dirs, _words(MODULE_DIRECTORIES["automation"]))),
-        only(F.array_contains(dirs, ".github") & F.array_contains(dirs, "workflows"), F.lit(".github/workflows")),
-    ]
+    seen = [common(dirs, MODULE_DIRECTORIES["automation"]), (F.array_contains(dirs, ".github") & F.array_contains(dirs, "workflows"), F.array(F.lit(".github/workflows")))]
     if not strict:
-        seen.append(only(name.isin(*BUILD_NAMES) | is_container_file(name) | (end == ".tf"), F.concat(F.lit("build/deploy-file:"), name)))
-    found.append(("automation", kind.isin("source_candidate", "configuration_path", "other_or_unknown") & ~test, seen))
-    entries = [F.struct(F.lit(m).alias("module"), F.when(may, F.array_join(F.concat(*s), "|")).otherwise("").alias("evidence")) for m, may, s in found]
-    return F.filter(F.array(*entries), lambda e: e["evidence"] != "")
+        seen.append((name.isin(*BUILD_NAMES) | is_container_file(name) | (end == ".tf"), F.array(F.concat(F.lit("build/deploy-file:"), name))))
+    return [*found, ("automation", kind.isin("source_candidate", "configuration_path", "other_or_unknown") & ~test, seen)]
+
+
+def module_evidence(path: Column, kind: Column, strict: bool = False, parsed: Parsed | None = None) -> Column:
+    """array<struct<module, evidence>>; ``strict`` takes directory names only. Explicit test paths give none."""
+    nothing = F.array().cast("array<string>")
+    rules = _module_rules(strict, kind, parsed or Parsed(path))
+    text = lambda may, seen: F.when(may, F.array_join(F.concat(*[F.when(c, e).otherwise(nothing) for c, e in seen]), "|")).otherwise("")
+    return F.filter(F.array(*[F.struct(F.lit(m).alias("module"), text(may, seen).alias("evidence")) for m, may, seen in rules]), lambda e: e["evidence"] != "")
 
 
-def module_flags(path: Column, kind: Column, strict: bool = False) -> dict[str, Column]:
-    evidence = module_evidence(path, kind, strict)
-    return {m: F.coalesce(F.array_contains(F.transform(evidence, lambda e: e["module"]), m), F.lit(False)) for m in MODULES}
+def module_flags(path: Column, kind: Column, strict: bool = False, parsed: Parsed | None = None) -> dict[str, Column]:
+    """Whether there is evidence of each module, without its text."""
+    rules = _module_rules(strict, kind, parsed or Parsed(path))
+    return {m: F.coalesce(may & reduce(lambda a, b: a | b, (c for c, _ in seen)), F.lit(False)) for m, may, seen in rules}
 
 
 def is_source_or_test(path: Column) -> Column:

@@ -142,13 +142,6 @@ def unpivot(df: DataFrame, ids: Sequence[str], flags: Sequence[str], name: str =
     return df.unpivot(list(ids), list(flags), name, value)
 
 
-def flag_matrix(df: DataFrame, base: DataFrame, id_col: str, category: str, values: Sequence[str]) -> DataFrame:
-    """``base`` plus a boolean column per category: whether the id occurs with it in ``df``; absent ids have none."""
-    wide = df.groupBy(id_col).pivot(category, list(values)).agg(F.count(F.lit(1)))
-    wide = wide.select(id_col, *[(F.coalesce(F.col(f"`{v}`"), F.lit(0)) > 0).alias(v) for v in values])
-    return base.join(wide, id_col, "left").select(*base.columns, *[F.coalesce(F.col(f"`{v}`"), F.lit(False)).alias(v) for v in values])
-
-
 def pair_cochange(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     """For every unordered pair of flags the rows with both, of all and of those with the first; one pass."""
     pairs = [(a, b) for i, a in enumerate(flags) for b in flags[i + 1 :]]

@@ -34,7 +34,11 @@ def matched_strata(df: DataFrame, keys: Sequence[str], arm: Column, value: str,
 
 def within_repositories(strata: DataFrame, repository: str = "repository_id") -> DataFrame:
     """The weighted mean of the strata's deltas in each repository; repositories then weigh the same."""
-    return strata.groupBy(repository).agg((F.sum(F.col("delta") * F.col("weight")) / F.sum("weight")).alias("delta"), F.sum("weight").alias("rows"), F.count(F.lit(1)).alias("strata"))
+    return within_repositories_by(strata, [repository])
+
+
+def within_repositories_by(strata: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return strata.groupBy(*keys).agg((F.sum(F.col("delta") * F.col("weight")) / F.sum("weight")).alias("delta"), F.sum("weight").alias("rows"), F.count(F.lit(1)).alias("strata"))
 
 
 def contrast(strata: DataFrame, repository: str = "repository_id", statistic: str = "median", eps: float = 1e-12) -> DataFrame:
@@ -52,6 +56,26 @@ def contrast(strata: DataFrame, repository: str = "repository_id", statistic: st
     )
 
 
+def rate_contrasts(df: DataFrame, keys: Sequence[str], arm: Column, flags: Sequence[str], repository: str = "repository_id", eps: float = 1e-12) -> DataFrame:
+    """``category`` and the columns of ``contrast`` (mean of rate differences) for each flag, all from one grouping.
+
+    A null flag counts as not set. Sums per stratum are turned to rows only after the grouping.
+    """
+    rows = df.withColumn("_a", arm).where("_a is not null")
+    n = {x: F.count_if(F.col("_a") == x) for x in (True, False)}
+    deltas = [(100.0 * (F.count_if(F.col("_a") & F.col(f)) / n[True] - F.count_if(~F.col("_a") & F.col(f)) / n[False])) for f in flags]
+    each = F.array(*[F.struct(F.lit(f).alias("category"), d.alias("delta")) for f, d in zip(flags, deltas, strict=True)])
+    strata = rows.groupBy(*keys).agg((n[True] + n[False]).alias("weight"), F.when(F.least(n[True], n[False]) > 0, each).alias("each")).where("each is not null")
+    repos = within_repositories_by(strata.select(*keys, "weight", F.inline("each")), ["category", repository])
+    return repos.groupBy("category").agg(
+        F.count(F.lit(1)).alias("repositories"),
+        F.avg("delta").alias("estimate"),
+        F.count_if(F.col("delta") > eps).alias("positive"),
+        F.count_if(F.col("delta") < -eps).alias("negative"),
+        F.count_if(F.abs("delta") <= eps).alias("tied"),
+    )
+
+
 def common_support(df: DataFrame, keys: Sequence[str], arm: Column) -> DataFrame:
     """The rows of strata that hold both arms."""
     rows = df.withColumn("_a", arm).where("_a is not null")
@@ -59,12 +83,6 @@ def common_support(df: DataFrame, keys: Sequence[str], arm: Column) -> DataFrame
     return rows.join(both, list(keys), "left_semi").drop("_a")
 
 
-def log_gamma_table(n: Column) -> Column:
-    """Cumulative logs of 1..n, so that entry k is log k!."""
-    steps = F.transform(F.sequence(F.lit(0), n), lambda k: F.when(k == 0, F.lit(0.0)).otherwise(F.log(k.cast("double"))))
-    return F.aggregate(steps, F.array().cast("array<double>"), lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0.0)) + x)))
-
-
 def log10_sign_test(positive: Column, negative: Column) -> Column:
     """log10 of the exact two-sided binomial p-value, by log-sum-exp over the smaller tail; 0 without any nonzero."""
     n, k = (positive + negative).cast("int"), F.least(positive, negative).cast("int")

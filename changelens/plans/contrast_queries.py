@@ -136,12 +136,8 @@ FROM (SELECT *, 6 - row_number() OVER (ORDER BY p_sign, category) AS k FROM p)""
 )
 def paired_rates_family(spark, sf_dir):
     """Five rates between two quarters, each with an exact sign test, adjusted as one family."""
-    df = changes(spark, sf_dir)
-    out = None
-    for flag in FLAGS:
-        one = c.contrast(c.matched_strata(df, ["repository_id", "agent"], period_arm(), flag, "rate"), statistic="mean", eps=1e-10).select(F.lit(flag).alias("category"), "*")
-        out = one if out is None else out.unionByName(one)
-    tested = c.holm(c.sign_test(out))
+    family = c.rate_contrasts(changes(spark, sf_dir), ["repository_id", "agent"], period_arm(), FLAGS, eps=1e-10)
+    tested = c.holm(c.sign_test(family))
     return tested.select("category", "repositories", F.col("estimate").alias("mean_pp"), "positive", "negative", "tied", "p_sign", "p_holm")
 
 

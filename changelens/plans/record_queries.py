@@ -74,8 +74,14 @@ def module_rows(spark, sf_dir, strict: bool = False):
     return df.select("id", "path", F.explode(paths.module_evidence(F.col("path"), F.col("kind"), strict, paths.Parsed(struct=F.col("_p")))).alias("e")).select("id", "path", "e.*")
 
 
-def module_matrix_of(spark, sf_dir, strict: bool = False):
-    return a.flag_matrix(module_rows(spark, sf_dir, strict), files(spark, sf_dir).select("id").distinct(), "id", "module", FUNCTIONAL)
+def module_matrix_of(spark, sf_dir, *strict: bool):
+    """``id`` and a flag per module, with ``_strict`` at the end of its name where directories only count; one scan, one shuffle."""
+    df = files(spark, sf_dir)
+    flags = {}
+    for only in strict or (False,):
+        found = paths.module_flags(F.col("path"), F.col("kind"), only, paths.Parsed(struct=F.col("_p")))
+        flags |= {f"{m}_strict" if only else m: found[m] for m in FUNCTIONAL}
+    return df.select("id", *[c.alias(m) for m, c in flags.items()]).groupBy("id").agg(*[F.bool_or(m).alias(m) for m in flags])
 
 
 @query(MODULES_SQL + " " + " UNION ALL ".join(f"SELECT '{m}' AS category, count(*) AS n, count(*) FILTER ({m}) AS prs, {pct(f'count(*) FILTER ({m})')} AS pct FROM pm" for m in FUNCTIONAL), ["pct"])
@@ -88,9 +94,9 @@ def module_summary(spark, sf_dir):
 @query(MODULES_SQL + " " + " UNION ALL ".join(f"SELECT '{m}' AS category, count(*) FILTER ({m}) AS broad_n, count(*) FILTER ({m}_strict) AS directory_only_n FROM pm" for m in FUNCTIONAL))
 def module_strict_sensitivity(spark, sf_dir):
     """The same from directory names only."""
-    broad = a.unpivot(module_matrix_of(spark, sf_dir), ["id"], FUNCTIONAL).groupBy("category").agg(F.count_if("flag").alias("broad_n"))
-    strict = a.unpivot(module_matrix_of(spark, sf_dir, True), ["id"], FUNCTIONAL).groupBy("category").agg(F.count_if("flag").alias("directory_only_n"))
-    return broad.join(strict, "category")
+    counts = module_matrix_of(spark, sf_dir, False, True).agg(*[F.count_if(x).alias(x) for m in FUNCTIONAL for x in (m, f"{m}_strict")])
+    rows = F.array(*[F.struct(F.lit(m).alias("category"), F.col(m).alias("broad_n"), F.col(f"{m}_strict").alias("directory_only_n")) for m in FUNCTIONAL])
+    return counts.select(F.inline(rows))
 
 
 PAIRS = [(x, y) for i, x in enumerate(FUNCTIONAL) for y in FUNCTIONAL[i + 1 :]]
