@@ -51,8 +51,10 @@ def _words(values: list[str]) -> Column:
 
 
 def clean_path(path: Column) -> Column:
-    """Without empty and "." steps, as a path library sees it."""
-    return F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"^(?:\./)+|/+\.?$", "")
+    """Without empty and "." steps, as a path library sees it. Only paths that hold such a step meet the patterns."""
+    clean = F.regexp_replace(F.regexp_replace(path, r"/(?:\.?/)+", "/"), r"^(?:\./)+|/+\.?$", "")
+    breaks = reduce(lambda a, b: a | b, (path.contains(c) for c in ("//", "/./", "\n", "\r", "\u0085", "\u2028", "\u2029")))
+    return F.when(breaks | path.startswith("./") | path.endswith("/") | path.endswith("/."), clean).otherwise(path)
 
 
 def parts(path: Column) -> Column:
@@ -64,7 +66,7 @@ def directories(path: Column) -> Column:
 
 
 def file_name(path: Column) -> Column:
-    return F.regexp_extract(clean_path(path), r"([^/]*)$", 1)
+    return F.substring_index(clean_path(path), "/", -1)
 
 
 def suffix(path: Column) -> Column:

@@ -1,5 +1,7 @@
 """Row features on hand-written rows: the traps of path rules, signals, completeness, redaction, labels."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,12 @@ def test_label_contract(spark, content, errors):
     assert got["w"] == errors
     if content.startswith('{"is_code_issue": true, "categories": ["perf'):
         assert got["f"]["categories"] == ["other_code_issue", "security"] and got["f"]["normalizations"] == ["performance->other_code_issue"] and got["f"]["confidence"] == 0.1235
+
+
+def test_clean_paths_equal_the_plain_patterns(spark):
+    draw = random.Random(4)
+    given = [None, "", "/", ".", "./", "a", *("".join(draw.choices("ab./\n", weights=[3, 2, 3, 4, 0.3], k=draw.randint(1, 9))) for _ in range(500))]
+    df = spark.createDataFrame([(p,) for p in given], "path string")
+    plain = F.regexp_replace(F.regexp_replace("path", r"/(?:\.?/)+", "/"), r"^(?:\./)+|/+\.?$", "")
+    differ = df.where(~paths.clean_path(F.col("path")).eqNullSafe(plain) | ~paths.file_name(F.col("path")).eqNullSafe(F.regexp_extract(plain, r"([^/]*)$", 1)))
+    assert differ.collect() == []
