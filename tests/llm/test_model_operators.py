@@ -133,6 +133,17 @@ def test_mixture_moves_to_its_targets(spark):
     assert mixing.mix(df.limit(0)).collect() == []
 
 
+def test_many_cells_are_raked_to_the_same_chances(spark):
+    rows = [(i, "word " * (i % 7), ["en", "de", None][i % 3], f"s{i % 11}" if i % 4 else "hot") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    for options in ({"keep_share": 0.3, "targets": {"lang": {"en": 0.3, "de": 0.7}}}, {"keep_share": 1.0}):
+        here, there = ({r["doc_id"]: r for r in mixing.mix(df, most_cells=n, **options).collect()} for n in (10**6, 0))
+        assert here.keys() == there.keys()
+        for i, r in here.items():
+            assert abs(r["weight"] - there[i]["weight"]) < 1e-7 and abs(r["chance"] - there[i]["chance"]) < 1e-6, (r, there[i])
+    assert mixing.mix(df.limit(0), most_cells=-1).collect() == []
+
+
 def test_mixture_keeps_columns_and_takes_null_topics(spark):
     rows = [(i, "word " * (i % 9), "en", "s", None if i % 3 else "t", "own", 2.0) for i in range(60)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, t string, _mix string, _weight double")
