@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, conversation_repair, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, spelling
+from . import ann, conversation_repair, exact_dedup, langid, line_dedup, mixing, ngram_join, packing, pii, quality, sharding, spelling, suffix_dedup
 from .scratch import table
 
 SHARD_BYTES = 8 << 20
@@ -68,12 +68,17 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair(table(spark, sf_dir, "conversations"))
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pii, op2_sharding, op3_nearest, op4_packing, op5_language_id, op6_mixing, op7_quality, op8_line_dedup, op9_ngram_join, op10_exact_dedup, op11_conversation_repair, op13_spelling_variants)
+    for f in (op1_pii, op2_sharding, op3_nearest, op4_packing, op5_language_id, op6_mixing, op7_quality, op8_line_dedup, op9_ngram_join, op10_exact_dedup, op11_conversation_repair, op12_suffix_dedup, op13_spelling_variants)
 }
-ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op10_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op13_spelling_variants": spelling.ORACLE}
+ORACLES = {"op2_sharding": sharding.oracle(SHARD_BYTES), "op10_exact_dedup": exact_dedup.ORACLE, "op11_conversation_repair": conversation_repair.ORACLE, "op12_suffix_dedup": suffix_dedup.ORACLE, "op13_spelling_variants": spelling.ORACLE}
