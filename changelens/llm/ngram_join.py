@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textkit
-from .groups import link_groups, shared_keys
+from .groups import add_links, link_groups, shared_keys
 from .scratch import join_facts, materialize, probably_in
 
 WORDS = 5
@@ -251,12 +251,17 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     groups = link_groups(shared_keys(keys), verify, compatible, 0.75)
     found = members.distinct()
+    # an id that is repeated with unlike texts joins their classes
+    several = found.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("doc", "a")
+    joined = materialize(found.join(several, "doc").where("a <> rep").select("a", F.col("rep").alias("b")).distinct(), "joined")
+    if not joined.isEmpty():
+        groups = add_links(groups, joined)
     if groups is None:
         found = found.withColumnRenamed("rep", "component")
     else:
         sizes = classes.join(groups.withColumnRenamed("id", "rep"), "rep").groupBy("rep", "component").agg(F.sum("copies").alias("copies"))
         linked = join_facts(found, sizes, "rep").select("doc", "component")
-        found = linked.unionByName(found.join(groups.select(F.col("id").alias("rep")), "rep", "left_anti").withColumnRenamed("rep", "component"))
+        found = linked.unionByName(found.join(groups.select(F.col("id").alias("rep")), "rep", "left_anti").select("doc", F.col("rep").alias("component"))).distinct()
     found = info.join(found, "doc", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
     nameless = docs.where(F.col(id_col).isNull()).select(F.lit(0).alias("id"), F.col(text_col).alias("text"))
     nameless = nameless.mapInArrow(textkit.tidy(_sizes), "n long").select(F.lit(None).cast("long").alias("doc"), "n", F.lit(None).cast("long").alias("component"))

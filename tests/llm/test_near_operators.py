@@ -70,6 +70,15 @@ def test_join_of_few_rows(spark):
     assert ngram_join.similar_groups(df.limit(0)).collect() == []
 
 
+def test_join_of_repeated_ids(spark):
+    a, b, c = "a b c d e f g h", "q r s t u v w x", "one two three four five six seven"
+    df = spark.createDataFrame([(1, a), (2, b), (5, a), (5, b), (7, c), (7, None), (8, c), (9, "alone here with five words more")], "doc_id long, text string")
+    rows = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.similar_groups(df).collect())
+    assert rows == [(1, 4, 1), (2, 4, 1), (5, 4, 1), (5, 4, 1), (7, 0, 7), (7, 3, 7), (8, 3, 7), (9, 2, 9)]
+    apart = spark.createDataFrame([(1, a), (5, a), (5, b), (6, b + " y"), (6, c), (8, c)], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.similar_groups(apart).collect()} == {(i, 1) for i in (1, 5, 6, 8)}
+
+
 @pytest.mark.parametrize("share", [0.3, 0.5, 0.6, 0.74, 0.8])
 def test_join_of_two_texts(spark, share):
     own = [f"w{i}" for i in range(200)]
