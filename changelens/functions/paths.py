@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,7 +33,7 @@ MODULE_TOKENS = {
     "interface": "ui gui renderer".split(),
     "service_api": "api server controller router".split(),
     "storage": "db database".split(),
-    "security": "auth authentication authorization security crypto cryptography".split(),
+    "security": "auth authentication authorization security crypto cryptography oauth oauth2".split(),
 }
 INTERFACE_SUFFIXES = ".jsx .tsx .vue .svelte .html .css .scss .sass .less".split()
 MARKUP_SUFFIXES = ".html .css .scss .sass .less".split()
@@ -84,12 +85,14 @@ def parent_directory(path: Column) -> Column:
 
 
 class Parsed:
-    """What the rules look at. Built from a path column, or from columns of ``parse`` so that nothing is parsed twice."""
+    """What the rules look at. Built from a path column, or from columns that hold its parts so that nothing is parsed twice."""
 
     FIELDS = ("low", "parts", "dirs", "name", "suffix", "tokens")
 
-    def __init__(self, path: Column | None = None, struct: Column | None = None):
-        if struct is not None:
+    def __init__(self, path: Column | None = None, struct: Column | None = None, prefix: str | None = None):
+        if prefix is not None:
+            self.low, self.parts, self.dirs, self.name, self.suffix, self.tokens = (F.col(f"{prefix}{f}") for f in self.FIELDS)
+        elif struct is not None:
             self.low, self.parts, self.dirs, self.name, self.suffix, self.tokens = (struct[f] for f in self.FIELDS)
         else:
             self.low = clean_path(F.lower(path))
@@ -108,6 +111,28 @@ def parse(df: DataFrame, path: str = "path", name: str = "_p") -> DataFrame:
     return flat.withColumn(name, F.struct(*[c.alias(k) for k, c in fields.items()])).drop(f"{name}_low", f"{name}_name", f"{name}_parts")
 
 
+def classified(df: DataFrame, rules: Callable[[Parsed, Column], dict[str, Column]] | None = None, path: str = "path") -> DataFrame:
+    """``df`` with ``kind`` and the columns of ``rules(parsed, kind)``.
+
+    A change record repeats few paths many times, so each distinct one is looked at once and its facts are joined back;
+    the join is a broadcast where Spark finds the facts small, else by shuffle, with its own handling of skewed paths.
+    Parts that no rule asks for are not computed. A null path has nulls.
+    """
+    p = "_path_"
+    own = Parsed(F.col(path))
+    flat = df.select(path).where(F.col(path).isNotNull()).distinct().withColumns({f"{p}low": own.low})
+    flat = flat.withColumns({f"{p}parts": F.split(f"{p}low", "/", -1), f"{p}name": F.substring_index(f"{p}low", "/", -1), f"{p}tokens": own.tokens})
+    flat = flat.withColumns({f"{p}dirs": F.slice(f"{p}parts", 1, F.size(f"{p}parts") - 1), f"{p}suffix": F.regexp_extract(f"{p}name", SUFFIX, 1)})
+    parsed = Parsed(prefix=p)
+    flat = flat.withColumn("kind", file_kind(F.col(path), parsed))
+    more = rules(parsed, F.col("kind")) if rules else {}
+    facts = flat.select(path, "kind", *[c.alias(n) for n, c in more.items()])
+    # paths are distinct and already dealt out by path, so this moves nothing; a filter on a fact stops here instead of
+    # going down with the whole rule in it, once for each use
+    facts = facts.groupBy(path).agg(*[F.first(c).alias(c) for c in facts.columns if c != path])
+    return df.join(facts, path, "left")
+
+
 def file_kind(path: Column, parsed: Parsed | None = None) -> Column:
     """One of FILE_KINDS, the first rule that matches; null for null."""
     p = parsed or Parsed(path)

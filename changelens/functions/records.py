@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -122,11 +122,19 @@ def files_reconcile(listed: Column, additions: Column, deletions: Column) -> Col
     return (total("additions") == additions) & (total("deletions") == deletions)
 
 
-def source_measures(listed: Column, complete: Column) -> dict[str, Column]:
-    """Counts over source files, null unless the list is complete: unknown is not zero."""
-    source = F.filter(listed, lambda f: paths.file_kind(f["path"]) == "source_candidate")
+def source_measures(
+    listed: Column,
+    complete: Column,
+    kind: Callable[[Column], Column] = lambda f: paths.file_kind(f["path"]),
+    folder: Callable[[Column], Column] = lambda f: paths.parent_directory(f["path"]),
+) -> dict[str, Column]:
+    """Counts over source files, null unless the list is complete: unknown is not zero.
+
+    Give ``kind`` and ``folder`` where the list holds them already: inside an array nothing that is parsed is shared.
+    """
+    source = F.filter(listed, lambda f: kind(f) == "source_candidate")
     lines = F.aggregate(source, F.lit(0).cast("long"), lambda acc, f: acc + f["additions"] + f["deletions"])
-    folders = F.size(F.array_distinct(F.transform(listed, lambda f: paths.parent_directory(f["path"]))))
+    folders = F.size(F.array_distinct(F.transform(listed, folder)))
     return {
         "source_files": F.when(complete, F.size(source).cast("long")),
         "source_lines": F.when(complete, lines),

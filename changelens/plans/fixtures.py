@@ -6,7 +6,9 @@ are repositories, priorities are task types. Several lines can name one path, wh
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import paths
@@ -18,9 +20,9 @@ def _case(of: str, values: list[str]) -> str:
 
 
 FOLDERS = ["src/api", "tests/unit", "docs", ".github/workflows", "frontend/ui", "db/migrations", "auth", "vendor/lib", "deploy/k8s", "services/server", "lib", "pkg/my.tests/core"]
-NAMES = ["UserAuth", "apiServer", "index", "test_util", "README", "Dockerfile", "db_model", "Controller", "OrderTests", "main"]
+NAMES = ["UserAuth", "apiServer", "index", "test_util", "README", "Dockerfile", "db_model", "Controller", "OrderTests", "main", "oauth2_client"]
 SUFFIXES = [".py", ".ts", ".tsx", ".sql", ".md", ".yml", ".min.js", ".html", ".lock", ".cs", ""]
-PATH = f"({_case('l_partkey % 12', FOLDERS)}) || '/' || ({_case('l_suppkey % 10', NAMES)}) || ({_case('(l_partkey + l_suppkey) % 11', SUFFIXES)})"
+PATH = f"({_case('l_partkey % 12', FOLDERS)}) || '/' || ({_case('l_suppkey % 11', NAMES)}) || ({_case('(l_partkey + l_suppkey) % 11', SUFFIXES)})"
 TASK = "CASE o_orderpriority WHEN '1-URGENT' THEN 'feature' WHEN '2-HIGH' THEN 'bug_fix' WHEN '3-MEDIUM' THEN 'docs' WHEN '4-NOT SPECIFIED' THEN 'testing' ELSE 'other' END"
 STATE = "CASE o_orderstatus WHEN 'F' THEN 'MERGED' WHEN 'O' THEN 'OPEN' ELSE 'CLOSED' END"
 AGENT = _case("o_orderkey % 5", ["codex", "copilot", "claude_code", "jules", "devin"])
@@ -45,12 +47,11 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``id, path, additions, deletions, kind`` of every changed file, and the parsed path as ``_p``."""
+def files(spark: SparkSession, sf_dir: str, rules: Callable[[paths.Parsed, Column], dict[str, Column]] | None = None) -> DataFrame:
+    """``path, id, additions, deletions, kind`` of every changed file, and what ``rules`` say of its path."""
     lines = t(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_tax")
     rows = lines.selectExpr("l_orderkey AS id", f"{PATH} AS path", "cast(floor(l_quantity) AS bigint) AS additions", "cast(floor(l_tax * 100) AS bigint) AS deletions")
-    parsed = paths.parse(rows)
-    return parsed.withColumn("kind", paths.file_kind(F.col("path"), paths.Parsed(struct=F.col("_p"))))
+    return paths.classified(rows, rules)
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -326,13 +326,6 @@ def agent_signals(spark, sf_dir):
     return df.select("id", r.agent_names(two).alias("agents"), (r.agent_names(one) != r.agent_names(two)).alias("changed_by_markdown"))
 
 
-@query("SELECT conv_id, turn, left(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 100) AS cleaned, length(text) > 6000 AS long FROM conversations")
-def cleaned_requests(spark, sf_dir):
-    """P25: white space squeezed, cut to a length that is a parameter of the request."""
-    df = t(spark, sf_dir, "conversations")
-    return df.select("conv_id", "turn", x.clean(F.col("text"), 100).alias("cleaned"), (F.length("text") > 6000).alias("long"))
-
-
 @query("SELECT conv_id, turn, left(trim(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', ' ', 'g')), 6000) AS cleaned, length(text) > 6000 AS long FROM conversations")
 def cleaned_requests_in_full(spark, sf_dir):
     """P25: as cleaned_requests, with the operator's own limit."""

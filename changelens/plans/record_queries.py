@@ -39,10 +39,9 @@ STAGE_SQL = {
 @query(f"{WF}, f AS (SELECT id, {', '.join(f'bool_or({e}) AS {k}' for k, e in STAGE_SQL.items())} FROM files GROUP BY id) " + " UNION ALL ".join(f"SELECT '{k}' AS stage, count(*) AS eligible, count(*) FILTER ({k}) AS touching, {pct(f'count(*) FILTER ({k})')} AS pct FROM f" for k in STAGE_SQL), ["pct"])
 def stage_footprints(spark, sf_dir):
     """Changes touching each stage."""
-    df = files(spark, sf_dir)
-    flags = paths.stage_flags(F.col("path"), F.col("kind"), paths.Parsed(struct=F.col("_p")))
-    per = df.groupBy("id").agg(*[F.bool_or(c).alias(k) for k, c in flags.items()])
-    long = a.unpivot(per, ["id"], list(flags), "stage")
+    df = files(spark, sf_dir, lambda p, kind: paths.stage_flags(F.col("path"), kind, p))
+    per = df.groupBy("id").agg(*[F.bool_or(k).alias(k) for k in STAGE_SQL])
+    long = a.unpivot(per, ["id"], list(STAGE_SQL), "stage")
     return long.groupBy("stage").agg(F.count(F.lit(1)).alias("eligible"), F.count_if("flag").alias("touching"), share(F.count_if("flag"), F.count(F.lit(1))).alias("pct"))
 
 
@@ -50,13 +49,30 @@ TEST_SQL = "regexp_matches(low, '(^|[/._-])(tests?|specs?)([._-][^/]*)?/') OR re
 STEM_SQL = "regexp_replace(lower(regexp_replace(regexp_replace(regexp_extract(path, '[^/]*$'), '(.)\\.[^.]*$', '\\1'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')), '[-.]', '_', 'g')"
 
 
+#: Fixed values, written out once more so that the SQL does not follow a slip in the library's own lists.
+DIRECTORY_SQL = {
+    "interface": "frontend|front-end|ui|gui|screens|widgets|styles|css|renderer|webapp",
+    "service_api": "api|apis|backend|back-end|server|servers|service|services|controllers|controller|routers",
+    "storage": "db|database|databases|storage|migrations|prisma|sequelize|typeorm|alembic",
+    "security": "auth|authentication|authorization|security|crypto|cryptography|oauth|oauth2|permissions",
+    "automation": "ci|cicd|deployment|deployments|docker|terraform|k8s|kubernetes|helm",
+}
+TOKEN_SQL = {
+    "interface": "['ui', 'gui', 'renderer']",
+    "service_api": "['api', 'server', 'controller', 'router']",
+    "storage": "['db', 'database']",
+    "security": "['auth', 'authentication', 'authorization', 'security', 'crypto', 'cryptography', 'oauth', 'oauth2']",
+}
+BUILD_SQL = "makefile|gnumakefile|cmakelists[.]txt|jenkinsfile|[.]gitlab-ci[.]yml|[.]travis[.]yml|azure-pipelines[.]yml|build[.]gradle|build[.]gradle[.]kts|pom[.]xml"
+
+
 def module_sql(module: str, strict: bool = False) -> str:
-    dirs = f"regexp_matches(low, '(^|/)({'|'.join(paths.MODULE_DIRECTORIES[module])})/')"
+    dirs = f"regexp_matches(low, '(^|/)({DIRECTORY_SQL[module]})/')"
     if module == "automation":
         more = "(contains(low, '.github/') AND contains(low, 'workflows/'))"
-        loose = f" OR regexp_matches(low, '(^|/)({'|'.join(n.replace('.', '[.]') for n in paths.BUILD_NAMES)})$') OR regexp_matches(low, '(^|/)(dockerfile|docker-compose|compose\\.y)[^/]*$') OR low LIKE '%.tf'"
+        loose = f" OR regexp_matches(low, '(^|/)({BUILD_SQL})$') OR regexp_matches(low, '(^|/)(dockerfile|docker-compose|compose\\.y)[^/]*$') OR low LIKE '%.tf'"
         return f"kind IN ('source_candidate', 'configuration_path', 'other_or_unknown') AND NOT ({TEST_SQL}) AND ({dirs} OR {more}{'' if strict else loose})"
-    loose = f"list_has_any(string_split({STEM_SQL}, '_'), {paths.MODULE_TOKENS[module]})"
+    loose = f"list_has_any(string_split({STEM_SQL}, '_'), {TOKEN_SQL[module]})"
     if module != "interface":
         loose = f"({loose} AND NOT regexp_matches(low, '\\.(html|css|scss|sass|less)$'))"
     if module == "interface":
@@ -70,18 +86,20 @@ MODULES_SQL = f"{WF}, m AS (SELECT *, {', '.join(f'({module_sql(m)}) AS {m}, ({m
 
 
 def module_rows(spark, sf_dir, strict: bool = False):
-    df = files(spark, sf_dir)
-    return df.select("id", "path", F.explode(paths.module_evidence(F.col("path"), F.col("kind"), strict, paths.Parsed(struct=F.col("_p")))).alias("e")).select("id", "path", "e.*")
+    df = files(spark, sf_dir, lambda p, kind: {"e": paths.module_evidence(F.col("path"), kind, strict, p)})
+    return df.select("id", "path", F.explode("e").alias("e")).select("id", "path", "e.*")
 
 
 def module_matrix_of(spark, sf_dir, *strict: bool):
     """``id`` and a flag per module, with ``_strict`` at the end of its name where directories only count; one scan, one shuffle."""
-    df = files(spark, sf_dir)
-    flags = {}
-    for only in strict or (False,):
-        found = paths.module_flags(F.col("path"), F.col("kind"), only, paths.Parsed(struct=F.col("_p")))
-        flags |= {f"{m}_strict" if only else m: found[m] for m in FUNCTIONAL}
-    return df.select("id", *[c.alias(m) for m, c in flags.items()]).groupBy("id").agg(*[F.bool_or(m).alias(m) for m in flags])
+    versions = strict or (False,)
+    names = {only: {m: f"{m}_strict" if only else m for m in FUNCTIONAL} for only in versions}
+
+    def rules(p: paths.Parsed, kind):
+        return {names[only][m]: c for only in versions for m, c in paths.module_flags(F.col("path"), kind, only, p).items() if m in names[only]}
+
+    df = files(spark, sf_dir, rules)
+    return df.groupBy("id").agg(*[F.bool_or(n).alias(n) for only in versions for n in names[only].values()])
 
 
 @query(MODULES_SQL + " " + " UNION ALL ".join(f"SELECT '{m}' AS category, count(*) AS n, count(*) FILTER ({m}) AS prs, {pct(f'count(*) FILTER ({m})')} AS pct FROM pm" for m in FUNCTIONAL), ["pct"])
@@ -119,11 +137,18 @@ def module_exclusive_pairs(spark, sf_dir):
     return found.where("both_n > 0")
 
 
-@query(f"{WF}, d AS (SELECT DISTINCT id, path, unnest(string_split(low, '/')[:-2]) AS directory FROM files) SELECT directory, count(*) AS n FROM d GROUP BY directory ORDER BY n DESC, directory LIMIT 20")
+@query(f"{WF}, d AS (SELECT unnest(list_distinct(string_split(low, '/')[:-2])) AS directory FROM files WHERE kind = 'source_candidate') SELECT directory, count(*) AS n FROM d GROUP BY directory")
 def directory_inventory(spark, sf_dir):
-    """The most frequent directory names over distinct paths of changes; a top-k report."""
-    df = files(spark, sf_dir).select("id", "path").distinct().select(F.explode(F.array_distinct(paths.directories(F.lower("path")))).alias("directory"))
-    return df.groupBy("directory").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "directory").limit(20)
+    """How many changed source files lie under each directory name."""
+    df = files(spark, sf_dir, lambda p, kind: {"directories": F.array_distinct(p.dirs)}).where("kind = 'source_candidate'")
+    return df.select(F.explode("directories").alias("directory")).groupBy("directory").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{WF} SELECT regexp_extract(low, '[^/]*$') AS name, count(*) AS n FROM files WHERE kind = 'source_candidate' GROUP BY 1 ORDER BY n DESC, name LIMIT 1500")
+def file_name_inventory(spark, sf_dir):
+    """The 1,500 most frequent names of changed source files; a top-k report."""
+    df = files(spark, sf_dir, lambda p, kind: {"name": p.name}).where("kind = 'source_candidate'")
+    return df.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(1500)
 
 
 @query("SELECT regexp_extract(url, '^https?://([^/]+)', 1) AS host, count(*) AS n, count(*) FILTER (contains(url, '?')) AS with_query FROM pages GROUP BY 1")
@@ -319,10 +344,11 @@ def gated_measures(spark, sf_dir):
     """Nested file lists; measures are unknown unless the list is complete."""
     from ..functions import records as r
 
-    listed = files(spark, sf_dir).groupBy("id").agg(F.collect_list(F.struct(F.lower("path").alias("path"), "additions", "deletions")).alias("listed"))
+    own = files(spark, sf_dir, lambda p, kind: {"folder": paths.parent_directory(F.lower("path"))})
+    listed = own.groupBy("id").agg(F.collect_list(F.struct(F.lower("path").alias("path"), "additions", "deletions", "kind", "folder")).alias("listed"))
     complete = r.files_complete(F.col("listed"), F.col("id") % 40 == 0, F.size("listed"))
     found = listed.withColumn("files_complete", complete)
-    measures = r.source_measures(F.col("listed"), F.col("files_complete"))
+    measures = r.source_measures(F.col("listed"), F.col("files_complete"), lambda f: f["kind"], lambda f: f["folder"])
     return found.select("id", measures["source_files"].alias("source_files"), measures["source_lines"].alias("source_lines"), measures["listed_directories"].alias("listed_directories"), "files_complete")
 
 
