@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.records import share
+from ..sources.scratch import written
+from . import ordering
 
 
 def n_of(condition: Column) -> Column:
@@ -19,10 +22,20 @@ def total(value: Column, where: Column | None = None) -> Column:
     return F.coalesce(F.sum(value if where is None else F.when(where, value)), F.lit(0))
 
 
-def summary(values: Sequence[str] = (), flags: Sequence[str] = (), repository: str | None = None) -> list[Column]:
+#: The quantiles of a summary.
+LEVELS = {"q25": 0.25, "median": 0.5, "q75": 0.75, "p90": 0.9}
+
+
+def levels(values: Sequence[str], of: dict[str, float] = LEVELS) -> dict[str, dict[str, float]]:
+    """What ``ordering.quantiles`` is asked for the values of a summary."""
+    return {v: {f"{v}_{name}": q for name, q in of.items()} for v in values}
+
+
+def summary(values: Sequence[str] = (), flags: Sequence[str] = (), repository: str | None = None, ranked: bool = True) -> list[Column]:
     """For values: eligible rows, exact quartiles and p90, mean, deviation, sum. For flags: true, eligible, percentage.
 
-    Eligible rows are those where the column is known; ``n`` counts all.
+    Eligible rows are those where the column is known; ``n`` counts all. Without ``ranked`` no quantiles: ``by_sets`` can
+    add them for groups of any size.
     """
     out = [F.count(F.lit(1)).alias("n")]
     if repository:
@@ -30,7 +43,7 @@ def summary(values: Sequence[str] = (), flags: Sequence[str] = (), repository: s
     for v in values:
         x = F.col(v)
         out.append(F.count(x).alias(f"{v}_n"))
-        out += [F.percentile(x, F.lit(q)).alias(f"{v}_{name}") for name, q in (("q25", 0.25), ("median", 0.5), ("q75", 0.75), ("p90", 0.9))]
+        out += [F.percentile(x, F.lit(q)).alias(f"{v}_{name}") for name, q in LEVELS.items() if ranked]
         out += [F.avg(x).alias(f"{v}_mean"), F.stddev_samp(x).alias(f"{v}_std"), total(x).alias(f"{v}_sum")]
     for f in flags:
         x = F.col(f)
@@ -38,16 +51,31 @@ def summary(values: Sequence[str] = (), flags: Sequence[str] = (), repository: s
     return out
 
 
-def by_sets(df: DataFrame, sets: Sequence[Sequence[str]], aggregates: Sequence[Column], all_label: str = "all") -> DataFrame:
+def by_sets(
+    df: DataFrame, sets: Sequence[Sequence[str]], aggregates: Sequence[Column], all_label: str = "all", quantiles: dict[str, dict[str, float]] | None = None
+) -> DataFrame:
     """One pass over ``df`` for several key sets; a key outside a row's set reads ``all_label``.
 
-    Keys are cast to strings; rows whose own key is null stay apart as null.
+    Keys are cast to strings; rows whose own key is null stay apart as null. ``quantiles`` (column to names and levels)
+    are exact and found by ranges of values, so the grand total needs no task that holds all of them.
     """
     keys = list(dict.fromkeys(k for s in sets for k in s))
     typed = df.select(*[c for c in df.columns if c not in keys], *[F.col(k).cast("string").alias(k) for k in keys])
+    if quantiles:  # read more than once
+        typed = written(typed, "summarised")
     grouped = typed.groupingSets([[F.col(k) for k in s] for s in sets], *[F.col(k) for k in keys])
     marks = [F.grouping(k).alias(f"_out_{k}") for k in keys]
     found = grouped.agg(*marks, *aggregates)
+    if quantiles:
+        number = F.lit(None).cast("int")
+        for i, s in enumerate(sets):
+            here = reduce(lambda a, b: a & b, [F.col(f"_out_{k}") == int(k not in s) for k in keys], F.lit(True))
+            number = F.when(here, i).otherwise(number)
+        ranked = ordering.quantiles(typed, sets, quantiles)
+        names = [n for of in quantiles.values() for n in of]
+        ranked = ranked.select(F.col("_set").alias("_ranked"), *[F.col(k).alias(f"_ranked_{k}") for k in keys], *names)
+        same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_ranked_{k}")) for k in keys], F.col("_set") == F.col("_ranked"))
+        found = found.withColumn("_set", number).join(ranked, same, "left").drop("_set", "_ranked", *[f"_ranked_{k}" for k in keys])
     named = [F.when(F.col(f"_out_{k}") == 1, all_label).otherwise(F.col(k)).alias(k) for k in keys]
     return found.select(*named, *[c for c in found.columns if c not in keys and not c.startswith("_out_")])
 

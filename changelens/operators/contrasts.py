@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.records import share
+from ..sources.scratch import written
+from . import ordering
 
 #: Fixed value: the two-sided 95 % point of the normal distribution.
 Z95 = 1.959963984540054
@@ -23,12 +26,17 @@ def matched_strata(df: DataFrame, keys: Sequence[str], arm: Column, value: str,
     rows = df.withColumn("_a", arm).where("_a is not null")
     of = lambda x: F.when(F.col("_a") == x, F.col(value))
     n = {x: F.count_if(F.col("_a") == x) for x in (True, False)}
+    counts = [n[True].alias("n_a"), n[False].alias("n_b")]
     if kind == "log_median":
-        delta = F.log1p(F.percentile(of(True), F.lit(0.5))) - F.log1p(F.percentile(of(False), F.lit(0.5)))
+        rows = written(rows.select(*keys, "_a", value), "arms")
+        medians = ordering.quantiles(rows, [[*keys, "_a"]], {value: {"_median": 0.5}})
+        one = lambda x: F.max(F.when(F.col("_a") == x, F.log1p("_median")))
+        deltas = medians.groupBy(*keys).agg((one(True) - one(False)).alias("delta"))
+        same = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys])
+        strata = rows.groupBy(*keys).agg(*counts).alias("l").join(deltas.alias("r"), same, "left").select("l.*", "r.delta")
     else:
         delta = 100.0 * (F.count_if(of(True)) / n[True] - F.count_if(of(False)) / n[False])
-    both = F.least(n[True], n[False])
-    strata = rows.groupBy(*keys).agg(n[True].alias("n_a"), n[False].alias("n_b"), F.when(both > 0, delta).alias("delta"))
+        strata = rows.groupBy(*keys).agg(*counts, F.when(F.least(n[True], n[False]) > 0, delta).alias("delta"))
     return strata.where(F.least("n_a", "n_b") >= max(1, least)).withColumn("weight", F.col("n_a") + F.col("n_b"))
 
 
@@ -137,19 +145,30 @@ def draws(spark, reps: int, n: int, seed: str) -> DataFrame:
     return grid.select("rep", "draw", (F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long") % n).alias("ix"))
 
 
-def bootstrap(df: DataFrame, value: str, order: Sequence[str], reps: int = 5000, statistic: str = "mean", seed: str = "boot", weight: str | None = None) -> DataFrame:
-    """``n, low, high``: the percentile interval of a statistic over resampled rows.
+#: Most rows of a bootstrap that are broadcast (16 bytes each).
+MOST_BROADCAST = 1 << 20
+
+
+def bootstrap(
+    df: DataFrame, value: str, order: Sequence[str], reps: int = 5000, statistic: str = "mean", seed: str = "boot", weight: str | None = None, least: int = 1
+) -> DataFrame:
+    """``n, low, high``: the percentile interval of a statistic over resampled rows; null bounds under ``least`` rows.
 
     ``df`` holds one row per repository or cluster. Its rows are numbered in ``order`` and meet the replicate grid by
-    number, so replicates are spread over the cluster. With ``weight`` the statistic is sum(value) / sum(weight).
+    number. Up to MOST_BROADCAST rows they go to where the grid is made, so that a replicate's sums are combined there
+    and only these are shuffled; more rows meet the grid by shuffle. With ``weight`` the statistic is sum(value) / sum(weight).
     """
-    numbered = df.withColumn("ix", (F.row_number().over(Window.orderBy(*order)) - 1).cast("long")).select("ix", F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
+    numbered = ordering.numbered(df, list(order)).select("ix", F.col(value).alias("_v"), (F.col(weight) if weight else F.lit(1.0)).alias("_w"))
     n = numbered.count()
-    if not n:
-        return df.sparkSession.createDataFrame([(0, None, None)], "n long, low double, high double")
-    each = draws(df.sparkSession, reps, n, seed).join(numbered, "ix").groupBy("rep")
-    stat = F.sum("_v") / F.sum("_w") if weight else F.percentile("_v", F.lit(0.5)) if statistic == "median" else F.avg("_v")
-    found = each.agg(stat.alias("s"))
+    if n < max(1, least):
+        return df.sparkSession.createDataFrame([(n, None, None)], "n long, low double, high double")
+    grid = draws(df.sparkSession, reps, n, seed)
+    each = grid.join(F.broadcast(numbered) if n <= MOST_BROADCAST else numbered, "ix").groupBy("rep")
+    if statistic == "median" and not weight:
+        # a replicate's draws, counted per value
+        found = each.agg(F.percentile("_v", F.lit(0.5)).alias("s"))
+    else:
+        found = each.agg((F.sum("_v") / F.sum("_w") if weight else F.avg("_v")).alias("s"))
     return found.agg(F.lit(n).cast("long").alias("n"), F.percentile("s", F.lit(0.025)).alias("low"), F.percentile("s", F.lit(0.975)).alias("high"))
 
 

@@ -178,14 +178,15 @@ def wilson_by_repository(spark, sf_dir):
     return g.select("repository_id", low.alias("low"), high.alias("high"))
 
 
-REPS = 500
+#: Replicates of medians and means, and of ratios; fewest clusters of a ratio's interval.
+REPS, RATIO_REPS, LEAST_CLUSTERS = 5000, 2000, 20
 
 
-def grid_sql(source: str, seed: str, statistic: str) -> str:
+def grid_sql(source: str, seed: str, statistic: str, reps: int = REPS, least: int = 1) -> str:
     return f"""numbered AS (SELECT row_number() OVER (ORDER BY repository_id) - 1 AS ix, v, w FROM {source}), size AS (SELECT count(*) AS n FROM numbered),
-grid AS (SELECT rep, draw, ('0x' || substr(md5('{seed}:' || rep || ':' || draw), 1, 15))::BIGINT % n AS ix FROM size, (SELECT unnest(range({REPS})) AS rep), (SELECT unnest(range((SELECT n FROM size))) AS draw)),
+grid AS (SELECT rep, draw, ('0x' || substr(md5('{seed}:' || rep || ':' || draw), 1, 15))::BIGINT % n AS ix FROM size, (SELECT unnest(range({reps})) AS rep), (SELECT unnest(range((SELECT n FROM size))) AS draw)),
 reps AS (SELECT rep, {statistic} AS s FROM grid JOIN numbered USING (ix) GROUP BY rep)
-SELECT (SELECT n FROM size) AS n, quantile_cont(s, 0.025) AS low, quantile_cont(s, 0.975) AS high FROM reps"""
+SELECT (SELECT n FROM size) AS n, CASE WHEN (SELECT n FROM size) >= {least} THEN quantile_cont(s, 0.025) END AS low, CASE WHEN (SELECT n FROM size) >= {least} THEN quantile_cont(s, 0.975) END AS high FROM reps"""
 
 
 @query(f"{W}, {BASE}, d AS (SELECT repository_id, delta AS v, 1.0 AS w FROM repos), {grid_sql('d', 'boot', 'median(v)')}", ["low", "high"])
@@ -195,11 +196,18 @@ def bootstrap_median(spark, sf_dir):
     return c.bootstrap(repos, "delta", ["repository_id"], REPS, "median")
 
 
-@query(f"{W}, d AS (SELECT repository_id, count(*) FILTER (merged)::DOUBLE AS v, count(*)::DOUBLE AS w FROM changes GROUP BY 1), {grid_sql('d', 'cluster', 'sum(v) / sum(w)')}", ["low", "high"])
+@query(f"{W}, d AS (SELECT repository_id, count(*) FILTER (merged)::DOUBLE AS v, count(*)::DOUBLE AS w FROM changes GROUP BY 1), {grid_sql('d', 'cluster', 'sum(v) / sum(w)', RATIO_REPS, LEAST_CLUSTERS)}", ["low", "high"])
 def bootstrap_ratio(spark, sf_dir):
     """The interval of a pooled rate when repositories are drawn."""
     g = changes(spark, sf_dir).groupBy("repository_id").agg(F.count_if("merged").cast("double").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
-    return c.bootstrap(g, "v", ["repository_id"], REPS, seed="cluster", weight="w")
+    return c.bootstrap(g, "v", ["repository_id"], RATIO_REPS, seed="cluster", weight="w", least=LEAST_CLUSTERS)
+
+
+@query(f"{W}, d AS (SELECT repository_id, count(*) FILTER (merged)::DOUBLE AS v, count(*)::DOUBLE AS w FROM changes WHERE repository_id < 12 GROUP BY 1), {grid_sql('d', 'cluster', 'sum(v) / sum(w)', RATIO_REPS, LEAST_CLUSTERS)}", ["low", "high"])
+def bootstrap_ratio_of_few(spark, sf_dir):
+    """Of a scope with fewer than 20 repositories no interval is given."""
+    few = changes(spark, sf_dir).where("repository_id < 12").groupBy("repository_id").agg(F.count_if("merged").cast("double").alias("v"), F.count(F.lit(1)).cast("double").alias("w"))
+    return c.bootstrap(few, "v", ["repository_id"], RATIO_REPS, seed="cluster", weight="w", least=LEAST_CLUSTERS)
 
 
 def standard_sql(flag: str) -> str:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import paths
 from ..functions.records import bins, in_window, share
 from ..operators import aggregates as a
+from ..operators import ordering
 from ..operators import quality as q
 from .fixtures import _PART, CHANGES_SQL, FILES_SQL, FUNCTIONAL, changes, files, t
 from .registry import query
@@ -175,9 +175,9 @@ def summary_sql(values: list[str], flags: list[str]) -> str:
     [f"{v}_{k}" for v in VALUES for k in ("q25", "median", "q75", "p90", "mean", "std")] + [f"{f}_pct" for f in FLAGS],
 )
 def scope_summaries(spark, sf_dir):
-    """A1, A2: all, by agent, by quarter, by both, in one pass."""
-    df = changes(spark, sf_dir)
-    return a.by_sets(df.withColumn("repo", F.col("repository_id")), [[], ["agent"], ["quarter"], ["agent", "quarter"]], a.summary(VALUES, FLAGS, "repo"))
+    """A1, A2: all, by agent, by quarter, by both; quantiles by ranges of values."""
+    df = changes(spark, sf_dir).select("agent", "quarter", F.col("repository_id").alias("repo"), *VALUES, *FLAGS)
+    return a.by_sets(df, [[], ["agent"], ["quarter"], ["agent", "quarter"]], a.summary(VALUES, FLAGS, "repo", ranked=False), quantiles=a.levels(VALUES))
 
 
 @query(f"{W} SELECT CASE WHEN stars <= 10 THEN '0-10' WHEN stars <= 100 THEN '11-100' WHEN stars <= 500 THEN '101-500' WHEN stars <= 1000 THEN '501-1000' ELSE '>1000' END AS star_bucket, count(*) AS n, count(DISTINCT repository_id) AS repositories, median(changed_lines) AS lines FROM changes GROUP BY 1", ["lines"])
@@ -327,9 +327,9 @@ def task_test_cochange(spark, sf_dir):
 @query(f"{W}, r AS (SELECT repository_id, count(*) AS n FROM changes GROUP BY 1), o AS (SELECT *, row_number() OVER (ORDER BY n DESC, repository_id) AS k, count(*) OVER () AS m FROM r) SELECT 100.0 * sum(n) FILTER (k <= ceil(m * 0.1)) / sum(n) AS top_pct, max(n) AS largest FROM o", ["top_pct"])
 def concentration(spark, sf_dir):
     """What the top tenth of repositories holds."""
-    r = changes(spark, sf_dir).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"))
-    o = r.withColumn("k", F.row_number().over(Window.orderBy(F.desc("n"), "repository_id"))).crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("m"))))
-    return o.agg(share(F.sum(F.when(F.col("k") <= F.ceil(F.col("m") * 0.1), F.col("n"))), F.sum("n")).alias("top_pct"), F.max("n").alias("largest"))
+    r = ordering.numbered(changes(spark, sf_dir).groupBy("repository_id").agg(F.count(F.lit(1)).alias("n")), [F.desc("n"), "repository_id"], "k")
+    o = r.crossJoin(F.broadcast(r.agg(F.count(F.lit(1)).alias("m"))))  # one row
+    return o.agg(share(F.sum(F.when(F.col("k") < F.ceil(F.col("m") * 0.1), F.col("n"))), F.sum("n")).alias("top_pct"), F.max("n").alias("largest"))
 
 
 @query(f"{W} SELECT task_type, count(*) AS n, {pct('count(*) FILTER (merged AND files_complete)')} AS lower_pct, {pct('count(*) FILTER (merged AND files_complete) + count(*) - count(*) FILTER (files_complete)')} AS upper_pct FROM changes GROUP BY 1", ["lower_pct", "upper_pct"])
