@@ -1,4 +1,4 @@
-"""Deterministic samples: day-stratified orders, caps per repository, hash-ordered audits, matched controls."""
+"""Deterministic samples: day-stratified orders, caps per repository, hash-ordered audits."""
 
 from __future__ import annotations
 
@@ -82,33 +82,3 @@ def sample_per_group(df: DataFrame, group: str, item: str, salt: str, size: int)
 
 def work_queue(df: DataFrame, status: str, open_states: Sequence[str], attempts: str, most: int, order: Sequence[str], limit: int) -> DataFrame:
     return df.where(F.col(status).isin(*open_states) & (F.col(attempts) < most)).orderBy(*order).limit(limit)
-
-
-def match_controls(anchors: DataFrame, pool: DataFrame, language: str = "language") -> DataFrame:
-    """For each anchor in order of ``rank`` the nearest unused control of its language: ``rank, anchor, control, score``.
-
-    Both tables have name, language, created, size, topics (and anchors rank). The score adds the age difference in
-    years, the difference of log1p sizes and twice one minus the topics' Jaccard similarity, rounded to 6; ties go to
-    the smaller name. Every anchor keeps as many candidates as there are anchors of its language, which always leaves
-    it one; the greedy choice then runs per language on those.
-    """
-    a = anchors.select(F.col("name").alias("anchor"), F.col(language).alias("language"), "rank", F.col("created").alias("ac"), F.col("size").alias("asz"), F.col("topics").alias("at"))
-    n = a.groupBy("language").agg(F.count(F.lit(1)).alias("n_anchors"))
-    p = pool.select(F.col("name").alias("control"), F.col(language).alias("language"), F.col("created").alias("pc"), F.col("size").alias("ps"), F.col("topics").alias("pt"))
-    days = F.abs(F.floor(F.datediff("pc", "ac"))) / 365.25
-    topical = 1 - F.size(F.array_intersect("at", "pt")) / F.greatest(F.lit(1), F.size(F.array_union("at", "pt")))
-    score = F.round(days + F.abs(F.log1p("ps") - F.log1p("asz")) + 2 * topical, 6)
-    near = a.join(n, "language").join(p, "language").withColumn("score", score)
-    near = near.withColumn("_k", F.row_number().over(Window.partitionBy("anchor").orderBy("score", "control"))).where("_k <= n_anchors")
-
-    def greedy(rows: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        for (rank, anchor), mine in rows.sort_values(["rank", "anchor", "score", "control"]).groupby(["rank", "anchor"], sort=True):
-            free = mine[~mine["control"].isin(used)]
-            if len(free):
-                used.add(free["control"].iloc[0])
-                out.append((rank, anchor, free["control"].iloc[0], free["score"].iloc[0]))
-        return pd.DataFrame(out, columns=["rank", "anchor", "control", "score"])
-
-    kind = {f.name: f.dataType.simpleString() for f in near.schema.fields}
-    return near.select("language", "rank", "anchor", "control", "score").groupBy("language").applyInPandas(greedy, f"rank {kind['rank']}, anchor {kind['anchor']}, control {kind['control']}, score double")

@@ -9,6 +9,7 @@ from ..functions import records as r
 from ..functions import text as x
 from ..operators import events as e
 from ..operators import labels as lb
+from ..operators import matching
 from ..operators import quality as q
 from ..operators import sampling as s
 from ..operators import windows as w
@@ -187,11 +188,21 @@ def _projects(spark, sf_dir):
     return df.select(F.col("c_name").alias("name"), F.col("n_name").alias("language"), F.expr("date_add(DATE'2015-01-01', cast(c_custkey % 3000 as int))").alias("created"), F.abs("c_acctbal").alias("size"), topics.alias("topics"), (F.col("c_custkey")).alias("rank"), "c_custkey")
 
 
-@query()
+PROJECTS_SQL = """SELECT c_name AS name, n_name AS language, DATE '2015-01-01' + (c_custkey % 3000)::INT AS created, abs(c_acctbal) AS size, c_custkey AS rank,
+ list_filter([c_mktsegment, CASE WHEN c_custkey % 3 = 0 THEN 'three' END, CASE WHEN c_custkey % 5 = 0 THEN 'five' END], lambda x: x IS NOT NULL) AS topics FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+
+
+@query(f"""WITH RECURSIVE p AS ({PROJECTS_SQL}), a AS (SELECT *, row_number() OVER (ORDER BY rank, name) AS k FROM p WHERE rank % 50 = 0),
+pairs AS (SELECT a.k, a.rank, a.name AS anchor, b.name AS control, round(abs(date_diff('day', a.created, b.created)) / 365.25 + abs(ln(1 + b.size) - ln(1 + a.size))
+ + 2 * (1 - len(list_intersect(a.topics, b.topics)) / greatest(1, len(list_distinct(list_concat(a.topics, b.topics))))), 6) AS score FROM a JOIN p b USING (language) WHERE b.rank % 50 <> 0),
+walk AS (SELECT 0::BIGINT AS k, []::VARCHAR[] AS used, NULL::STRUCT(score DOUBLE, control VARCHAR) AS best
+ UNION ALL SELECT w.k + 1, CASE WHEN w.best IS NULL THEN w.used ELSE list_append(w.used, w.best.control) END,
+ (SELECT min({{'score': q.score, 'control': q.control}}) FROM pairs q WHERE q.k = w.k + 1 AND NOT list_contains(w.used, q.control) AND (w.best IS NULL OR q.control <> w.best.control)) FROM walk w WHERE w.k < (SELECT count(*) FROM a))
+SELECT a.rank, a.name AS anchor, w.best.control AS control, w.best.score AS score FROM walk w JOIN a USING (k) WHERE w.best IS NOT NULL""", ["score"])
 def matched_controls(spark, sf_dir):
-    """Nearest controls without replacement; tested against brute force."""
+    """Nearest controls without replacement."""
     p = _projects(spark, sf_dir)
-    return s.match_controls(p.where("c_custkey % 50 = 0"), p.where("c_custkey % 50 <> 0"))
+    return matching.match_controls(p.where("c_custkey % 50 = 0"), p.where("c_custkey % 50 <> 0"))
 
 
 # ---- windows
