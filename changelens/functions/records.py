@@ -24,6 +24,9 @@ MARKDOWN_SIGNATURE = r"(?i)Generated\s+with\s+\[Claude\s+Code\]\(https?://[^\s)]
 RESOURCE_LANGUAGES = ("Markdown", "Jupyter Notebook")
 RESOURCE_TOPICS = "awesome awesome-list roadmap study-plan books courses coding-interview interview-prep interview-practice interview-preparation".split()
 RESOURCE_DESCRIPTION = r"\b(curated list|collective list|list of|study plan|roadmaps|skills for real engineers|freely available programming books)\b"
+#: The wider pattern and names of the cross-repository corpus.
+CORPUS_REPAIR_TITLE = r"(?i)(?U)\b(fix(?:es|ed|ing)?|bug(?:fix)?|regression|hotfix)\b"
+CORPUS_BUG_LABELS = ("bug", "bugfix", "bugfixes", "typebug", "kindbug", "typebugfix", "hotfix", "typehotfix")
 
 
 def share(part: Column, whole: Column) -> Column:

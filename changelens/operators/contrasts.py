@@ -84,6 +84,27 @@ def rate_contrasts(df: DataFrame, keys: Sequence[str], arm: Column, flags: Seque
     )
 
 
+def rate_families(df: DataFrame, keys: Sequence[str], arm: Column, flags: Sequence[str], levels: Sequence[int], repository: str = "repository_id", eps: float = 1e-10) -> DataFrame:
+    """``category, least, repositories, strata, rows, estimate, positive, negative, tied`` for each flag and each least
+    number of rows that a stratum needs in both arms; all from one grouping. A null flag counts as not set."""
+    rows = df.withColumn("_a", arm).where("_a is not null")
+    n = {x: F.count_if(F.col("_a") == x) for x in (True, False)}
+    deltas = [100.0 * (F.count_if(F.col("_a") & F.col(f)) / F.nullif(n[True], F.lit(0)) - F.count_if(~F.col("_a") & F.col(f)) / F.nullif(n[False], F.lit(0))) for f in flags]
+    each = F.array(*[F.struct(F.lit(f).alias("category"), d.alias("delta")) for f, d in zip(flags, deltas, strict=True)])
+    strata = rows.groupBy(*keys).agg((n[True] + n[False]).alias("weight"), F.least(n[True], n[False]).alias("both"), each.alias("each")).where(F.col("both") >= max(1, min(levels)))
+    supported = strata.withColumn("least", F.explode(F.filter(F.array(*[F.lit(x) for x in levels]), lambda x: x <= F.col("both"))))
+    repos = within_repositories_by(supported.select(*keys, "weight", "least", F.inline("each")), ["category", "least", repository])
+    return repos.groupBy("category", "least").agg(
+        F.count(F.lit(1)).alias("repositories"),
+        F.sum("strata").alias("strata"),
+        F.sum("rows").alias("rows"),
+        F.avg("delta").alias("estimate"),
+        F.count_if(F.col("delta") > eps).alias("positive"),
+        F.count_if(F.col("delta") < -eps).alias("negative"),
+        F.count_if(F.abs("delta") <= eps).alias("tied"),
+    )
+
+
 def common_support(df: DataFrame, keys: Sequence[str], arm: Column) -> DataFrame:
     """The rows of strata that hold both arms."""
     rows = df.withColumn("_a", arm).where("_a is not null")

@@ -134,3 +134,31 @@ def test_clean_paths_equal_the_plain_patterns(spark):
     plain = F.regexp_replace(F.regexp_replace("path", r"/(?:\.?/)+", "/"), r"^(?:\./)+|/+\.?$", "")
     differ = df.where(~paths.clean_path(F.col("path")).eqNullSafe(plain) | ~paths.file_name(F.col("path")).eqNullSafe(F.regexp_extract(plain, r"([^/]*)$", 1)))
     assert differ.collect() == []
+
+
+def test_every_listed_token_gives_evidence(spark):
+    tokens = {
+        "interface": ["ui", "gui", "renderer"],
+        "service_api": ["api", "server", "controller", "router"],
+        "storage": ["db", "database"],
+        "security": ["auth", "authentication", "authorization", "security", "crypto", "cryptography", "oauth", "oauth2"],
+    }
+    rows = [(f"lib/{word}.py", module) for module, words in tokens.items() for word in words] + [("src/oauth2_client.py", "security"), ("src/MyOauthLogin.ts", "security")]
+    df = paths.classified(spark.createDataFrame(rows, "path string, module string"), lambda p, kind: {"e": paths.module_evidence(F.col("path"), kind, False, p)})
+    assert all([r["module"]] == [e["module"] for e in r["e"]] for r in df.collect())
+    assert df.count() == len(rows)
+
+
+def test_distinct_paths_are_classified_as_single_ones(spark):
+    rows = [(p, i) for i, p in enumerate([*KINDS, *KINDS, None])]
+    df = spark.createDataFrame(rows, "path string, i int")
+    found = paths.classified(df, lambda p, kind: paths.stage_flags(F.col("path"), kind, p))
+    want = df.select("path", "i", paths.file_kind(F.col("path")).alias("kind"), *[x.alias(k) for k, x in paths.stage_flags(F.col("path"), paths.file_kind(F.col("path"))).items()])
+    assert sorted(map(str, found.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_corpus_repairs_are_wider(spark):
+    titles = ["hotfix now", "hotfixes", "Fixing it", "prefix", "éfix", "regressions", "a regression", None]
+    got = values(spark, [(x, [x]) for x in titles], "t string, l array<string>", r.repair_title(F.col("t"), r.CORPUS_REPAIR_TITLE), r.bug_label(F.col("l"), r.CORPUS_BUG_LABELS))
+    assert [a for a, _ in got] == [True, False, True, False, False, False, True, False]
+    assert values(spark, [(["Type: Hot-Fix"],), (["bug fixes"],), (["debug"],)], "l array<string>", r.bug_label(F.col("l"), r.CORPUS_BUG_LABELS)) == [(True,), (True,), (False,)]
