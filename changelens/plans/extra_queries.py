@@ -233,7 +233,7 @@ def repository_folders(spark, sf_dir):
 
 @query("SELECT (count(*))::BIGINT AS lines, true AS same_in_other_files FROM orders")
 def content_fingerprints(spark, sf_dir):
-    """Checksums of lines do not depend on how they are dealt over files."""
+    """Sums of lines in any order do not depend on how these are dealt over files; export_checksums has the ordered ones."""
     one, other = _folder(spark, "one"), _folder(spark, "other")
     _orders(spark, sf_dir).write.json(one)
     _orders(spark, sf_dir).repartition(7, "o_custkey").write.json(other)

@@ -6,10 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from ..functions import records as r
+from ..sources import files as src
 from ..sources import integrity as g
 from ..sources.scratch import shared_dir
 from ..streaming import incremental
-from .fixtures import CHANGES_SQL, PATH, changes, t
+from .fixtures import CHANGES_SQL, PATH, changes, files, t
 from .registry import query
 
 
@@ -90,6 +92,27 @@ def resumed_labels(spark, sf_dir):
     return spark.read.schema(schema).parquet(f"{out}/batch=*")
 
 
+@query("SELECT r_regionkey AS region, r_name AS name, count(n_nationkey) AS nations, coalesce(sum(n_nationkey), 0)::BIGINT AS keys FROM region LEFT JOIN nation ON n_regionkey = r_regionkey GROUP BY 1, 2")
+def document_read(spark, sf_dir):
+    """One JSON document over many lines, with nested lists."""
+    path = _folder(spark, "document")
+    nations = t(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sort_array(F.collect_list("n_nationkey")).alias("nations"))
+    regions = t(spark, sf_dir, "region").select(F.col("r_regionkey").alias("region"), F.col("r_name").alias("name")).join(nations, "region", "left")
+    whole = F.to_json(F.sort_array(F.collect_list(F.struct("region", "name", F.coalesce("nations", F.array().cast("array<int>")).alias("nations")))))
+    lines = regions.agg(F.regexp_replace(whole, r"([,\[{])", "$1\n  ").alias("value"))  # as a person would lay it out
+    lines.write.text(path)
+    found = src.read_document(spark, path, "region int, name string, nations array<int>")
+    return found.select("region", "name", F.size("nations").cast("long").alias("nations"), F.aggregate("nations", F.lit(0).cast("long"), lambda acc, x: acc + x).alias("keys"))
+
+
+@query(f"WITH {CHANGES_SQL} SELECT repository_id, count(*) AS n, count(*) FILTER (id % 9 <> 0) AS reconciled FROM changes WHERE changed_files > 0 GROUP BY 1")
+def reconciled_files(spark, sf_dir):
+    """Whether the listed files add up to the declared additions and deletions, which are wrong for some changes."""
+    listed = files(spark, sf_dir).groupBy("id").agg(F.collect_list(F.struct("path", "additions", "deletions")).alias("listed"))
+    df = changes(spark, sf_dir).select("id", "repository_id", "additions", (F.col("deletions") + (F.col("id") % 9 == 0).cast("int")).alias("deletions")).join(listed, "id")
+    return df.groupBy("repository_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(r.files_reconcile(F.col("listed"), F.col("additions"), F.col("deletions"))).alias("reconciled"))
+
+
 _OUT = r"low rlike '(^|/)(package-lock[.]json|yarn[.]lock)$|[.]lock$|(^|/)(node_modules|vendor|dist|build|generated|__generated__)/|[.]min[.](js|css)$'"
 _TEST = r"low rlike '(^|/)(test|tests|__tests__|spec|specs|testing)/|(^|/)test_[^/]*$|_test[.][^/]*$'"
 _DOC = r"low rlike '[.](md|rst|adoc)$|(^|/)(doc|docs|documentation)/|(^|/)(readme|license|changelog)[^/]*$'"

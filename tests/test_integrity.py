@@ -103,3 +103,13 @@ def test_changed_cells_are_found(spark):
     found = {tuple(r) for r in g.changed_cells(left, right, ["id"], ["a", "b"]).collect()}
     assert found == {(77, "a", "0", "1"), (88, "b", None, "w"), (99, "a", "1", None), (99, "b", None, None), (5000, "a", None, "1"), (5000, "b", None, None)}
     assert g.changed_cells(left, left, ["id"], ["a", "b"]).collect() == []
+
+
+def test_census_documents_become_plain_lists(spark):
+    from changelens.sources import files
+
+    schema = "id string, files struct<totalCount:long,pageInfo:struct<hasNextPage:boolean>,nodes:array<struct<path:string>>>"
+    rows = [("a", (1, (False,), [("x",)])), ("b", (2, (False,), [("x",)])), ("c", (1, (True,), [("x",)])), ("d", (1, None, [("x",)]))]
+    found = files.normalise_census(spark.createDataFrame(rows, schema)).select("id", "files", "collection.truncated").collect()
+    assert {r["id"]: r["truncated"]["files"] for r in found} == {"a": False, "b": True, "c": True, "d": True}
+    assert all([f["path"] for f in r["files"]] == ["x"] for r in found)
