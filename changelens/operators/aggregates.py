@@ -203,3 +203,9 @@ def scopes(df: DataFrame, masks: dict[str, Column], aggregates: Sequence[Column]
 def missing_bounds(hits: Column, known: Column, all_rows: Column) -> list[Column]:
     """Lowest and highest possible percentage of hits when rows without an answer may be either."""
     return [share(hits, all_rows).alias("lower_pct"), share(hits + all_rows - known, all_rows).alias("upper_pct")]
+
+
+def value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``counter, value, n``: how often each value of several columns occurs, in one pass; values as text, null as null."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("counter"), F.col(c).cast("string").alias("value")) for c in columns]))
+    return df.select(pairs.alias("p")).groupBy("p.counter", "p.value").agg(F.count(F.lit(1)).alias("n"))

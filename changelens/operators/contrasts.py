@@ -274,3 +274,31 @@ def tails(df: DataFrame, lines: str, flag: str, id_col: str, keys: Sequence[str]
         )
         out.append(got.withColumn("line_share_pct", share(F.col("signal_lines"), F.col("total_lines"))).withColumn("mode", F.lit(mode)))
     return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def tail_contributions(df: DataFrame, lines: str, flag: str, id_col: str, by: str) -> DataFrame:
+    """``mode, by, prs, signal_prs, total_lines, signal_lines, line_share_pct``: what each group gives to the whole table's
+    lines as they are, without the largest 1 % of all rows (ties by id), and with lines cut at the whole table's 99th percentile.
+
+    Places of rows and the percentile come from ranges (see ``ordering``); modes are sums of one grouping.
+    """
+    placed, one = top_rows(df.select(id_col, by, lines, flag), lines, id_col)
+    cap = ordering.quantiles(placed, [[]], {lines: {"_cap": 0.99}}).select("_cap")  # one row
+    rows = placed.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(cap)).withColumn("_x", F.col(lines).cast("double"))
+    modes = F.array_compact(
+        F.array(
+            F.struct(F.lit("raw").alias("mode"), F.col("_x").alias("v")),
+            F.when(F.col("_place") >= F.col("top_n"), F.struct(F.lit("drop_top_1pct").alias("mode"), F.col("_x").alias("v"))),
+            F.struct(F.lit("winsorize_99pct").alias("mode"), F.least("_x", "_cap").alias("v")),
+        )
+    )
+    hit = F.col(flag)
+    each = rows.select(by, flag, F.explode(modes).alias("m")).groupBy("m.mode", by)
+    sums = each.agg(F.count(F.lit(1)).alias("prs"), F.count_if(hit).alias("signal_prs"), F.sum("m.v").alias("total_lines"), F.coalesce(F.sum(F.when(hit, F.col("m.v"))), F.lit(0.0)).alias("signal_lines"))
+    return sums.withColumn("line_share_pct", share(F.col("signal_lines"), F.col("total_lines")))
+
+
+def top_rows(df: DataFrame, lines: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``_place`` (from 0, largest ``lines`` first, ties by id), and one row ``top_n``: how many the largest 1 % are."""
+    placed = ordering.numbered(df, [F.desc(lines), id_col], "_place")
+    return placed, placed.agg(F.ceil(F.count(F.lit(1)) * 0.01).alias("top_n"))

@@ -9,7 +9,7 @@ from ..operators import aggregates as a
 from ..operators import contrasts as c
 from ..operators import ordering
 from .contrast_queries import IN_PERIODS, TAIL_SQL, period_arm
-from .fixtures import CHANGES_SQL, FUNCTIONAL, PERIODS, changes, t
+from .fixtures import CHANGES_SQL, FUNCTIONAL, PERIODS, changes, files, t
 from .record_queries import MODULES_SQL, SHARES_SQL, module_matrix_of, pct
 from .registry import query
 
@@ -165,3 +165,71 @@ def corpus_repairs(spark, sf_dir):
     df = t(spark, sf_dir, "documents")
     title, label = r.repair_title(F.col("text"), r.CORPUS_REPAIR_TITLE), r.bug_label(F.array(F.coalesce("source", F.lit(""))), r.CORPUS_BUG_LABELS)
     return df.groupBy((F.col("doc_id") % 10).alias("k")).agg(F.count(F.lit(1)).alias("n"), F.count_if(title).alias("titles"), F.count_if(label).alias("labelled"))
+
+
+_RANKED_SQL = "ranked AS (SELECT *, row_number() OVER (ORDER BY changed_lines DESC, id) AS k, count(*) OVER () AS m, quantile_cont(changed_lines, 0.99) OVER () AS cap FROM changes)"
+
+
+def _contribution_sql(mode: str, value: str, where: str) -> str:
+    return f"""SELECT '{mode}' AS mode, repository_id, count(*) AS prs, count(*) FILTER (agent_detected) AS signal_prs, sum({value})::DOUBLE AS total_lines, coalesce(sum({value}) FILTER (agent_detected), 0)::DOUBLE AS signal_lines,
+ {pct(f'coalesce(sum({value}) FILTER (agent_detected), 0)', f'sum({value})')} AS line_share_pct FROM ranked WHERE {where} GROUP BY repository_id"""
+
+
+@query(f"{W}, {_RANKED_SQL} {_contribution_sql('raw', 'changed_lines', 'true')} UNION ALL {_contribution_sql('drop_top_1pct', 'changed_lines', 'k > ceil(m * 0.01)')} UNION ALL {_contribution_sql('winsorize_99pct', 'least(changed_lines, cap)', 'true')}", ["total_lines", "signal_lines", "line_share_pct"])
+def tail_projects(spark, sf_dir):
+    """Each project's part of the lines in the three treatments of the largest changes."""
+    return c.tail_contributions(changes(spark, sf_dir), "changed_lines", "agent_detected", "id", "repository_id")
+
+
+@query(f"{W}, {_RANKED_SQL} SELECT id, repository_id, changed_lines, agent_detected, k AS place FROM ranked WHERE k <= ceil(m * 0.01)")
+def top_record_audit(spark, sf_dir):
+    """The largest 1 % of changes, one by one."""
+    placed, top = c.top_rows(changes(spark, sf_dir).select("id", "repository_id", "changed_lines", "agent_detected"), "changed_lines", "id")
+    return placed.crossJoin(F.broadcast(top)).where("_place < top_n").select("id", "repository_id", "changed_lines", "agent_detected", (F.col("_place") + 1).alias("place"))
+
+
+_POPULATIONS = {"all_annotated": "true", "feature": "task_type = 'feature'", "bug_fix": "task_type = 'bug_fix'"}
+
+
+@query(f"{W} " + " UNION ALL ".join(f"SELECT '{n}' AS population, \"quarter\", count(*) AS prs, median(changed_files) AS files_median, median(changed_lines) AS lines_median, count(*) FILTER (has_text) AS discussion_prs, 100.0 * avg(has_text::INT) AS discussion_pct, 100.0 * avg(cross_file::INT) AS cross_file_pct FROM changes WHERE \"quarter\" IN {IN_PERIODS} AND {e} GROUP BY 2" for n, e in _POPULATIONS.items()), ["files_median", "lines_median", "discussion_pct", "cross_file_pct"])
+def quarterly_evidence(spark, sf_dir):
+    """Sizes and discussion of all changes, features and repairs in two quarters."""
+    df = changes(spark, sf_dir).where(F.col("quarter").isin(*PERIODS))
+    tags = F.array_compact(F.array(*[F.when(F.expr(e), F.lit(n)) for n, e in _POPULATIONS.items()]))
+    half = lambda v: F.percentile(v, F.lit(0.5)).alias(f"{v[8:]}_median")
+    rate = lambda v: 100.0 * F.avg(F.col(v).cast("double"))
+    return df.withColumn("population", F.explode(tags)).groupBy("population", "quarter").agg(
+        F.count(F.lit(1)).alias("prs"), half("changed_files"), half("changed_lines"), F.count_if("has_text").alias("discussion_prs"), rate("has_text").alias("discussion_pct"), rate("cross_file").alias("cross_file_pct")
+    )
+
+
+_ROLES = ["test_path", "configuration_path", "documentation_path"]
+
+
+@query(f"{W}, roles AS (SELECT id, bool_or(kind = 'source_candidate') AS source, {', '.join(f'bool_or(kind = {chr(39)}{k}{chr(39)}) AS {k}' for k in _ROLES)} FROM files GROUP BY id) " + " UNION ALL ".join(f"SELECT '{k}' AS role, count(*) FILTER (source AND {k}) AS with_source, count(*) FILTER ({k}) AS prs, count(*) FILTER (task_type = 'testing' AND {k}) AS testing_with, count(*) FILTER (task_type = 'testing' AND NOT {k}) AS testing_without FROM roles JOIN changes USING (id)" for k in _ROLES))
+def role_cochange(spark, sf_dir):
+    """Roles that change together with source files, and how far changes tagged as testing touch them."""
+    flags = [F.bool_or(F.col("kind") == k).alias(k) for k in ["source_candidate", *_ROLES]]
+    df = files(spark, sf_dir).groupBy("id").agg(*flags).join(changes(spark, sf_dir).select("id", "task_type"), "id")
+    tag = F.col("task_type") == "testing"
+    rows = [F.struct(F.lit(k).alias("role"), F.count_if(F.col("source_candidate") & F.col(k)).alias("with_source"), F.count_if(k).alias("prs"), F.count_if(tag & F.col(k)).alias("testing_with"), F.count_if(tag & ~F.col(k)).alias("testing_without")) for k in _ROLES]
+    return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
+
+
+_COUNTED = ["agent", "task_type", "state", "quarter", "multi_signal", "files_complete"]
+
+
+@query(f"{W} " + " UNION ALL ".join(f"SELECT '{x}' AS counter, \"{x}\"::VARCHAR AS value, count(*) AS n FROM changes GROUP BY 2" for x in _COUNTED))
+def corpus_counters(spark, sf_dir):
+    """Six frequency counters of the corpus, in one pass."""
+    return a.value_counts(changes(spark, sf_dir), _COUNTED)
+
+
+@query(f"{W} SELECT agent, count(*) AS selected, count(DISTINCT repository_id) AS repositories, count(DISTINCT created_at::DATE) AS days, count(*) FILTER (files_complete) AS complete, count(*) FILTER (state = 'OPEN') AS open, count(*) FILTER (state = 'MERGED') AS merged FROM changes GROUP BY 1")
+def selection_ledger(spark, sf_dir):
+    """Repositories, days and states of what was selected for each agent."""
+    state = lambda x: F.count_if(F.col("state") == x)
+    return changes(spark, sf_dir).groupBy("agent").agg(
+        F.count(F.lit(1)).alias("selected"), F.countDistinct("repository_id").alias("repositories"), F.countDistinct(F.to_date("created_at")).alias("days"),
+        F.count_if("files_complete").alias("complete"), state("OPEN").alias("open"), state("MERGED").alias("merged"),
+    )
