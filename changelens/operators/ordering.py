@@ -61,7 +61,7 @@ def quantiles(df: DataFrame, sets: Sequence[Sequence[str]], wanted: dict[str, di
     asked = ranges.select(*group, "range", "before", "n", F.explode(levels[F.col("c")]).alias("l"), "all").withColumn("at", (F.col("all") - 1) * F.col("l.q"))
     ends = F.explode(F.array_distinct(F.array(F.floor("at"), F.ceil("at"))))
     asked = asked.select(*group, "range", "before", "n", "l.name", "at", ends.alias("end")).where("end >= before and end < before + n")
-    asked = written(asked.drop("n"), "wanted-ranks")
+    asked = asked.drop("n")
     place_keys = [*group, "range"]
     same = reduce(lambda a, b: a & b, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in place_keys])
     inside = counts.alias("x").join(asked.select(*place_keys).distinct().alias("y"), same, "left_semi")
