@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -68,6 +69,60 @@ def review_requests(texts: DataFrame, threads: DataFrame, keys: Sequence[str] =
     )
 
 
+def evidence_contexts(states: DataFrame, threads: DataFrame) -> DataFrame:
+    """``change_id, text_id, context``: what surrounds a review text, one row per text.
+
+    ``states`` has change_id, text_id, review_state; ``threads`` change_id, text_id, path, line, original_line, is_outdated,
+    is_resolved, diff_hunk. A text of a thread has the thread's fields and no review state. Of several rows for one text
+    the smallest of its thread rows, else of its states, is taken; rows without an id give no context.
+    """
+    kinds = {"diff_hunk": "string", "is_outdated": "boolean", "is_resolved": "boolean", "line": "long", "original_line": "long", "path": "string", "review_state": "string"}
+
+    def rows(df: DataFrame, rank: int, **given: Column) -> DataFrame:
+        context = F.struct(*[given.get(k, F.lit(None)).cast(kind).alias(k) for k, kind in kinds.items()])
+        return df.where("change_id is not null and text_id is not null").select("change_id", "text_id", F.struct(F.lit(rank).alias("rank"), context.alias("context")).alias("c"))
+
+    thread = {k: F.col(k) for k in ("path", "line", "original_line", "is_outdated", "is_resolved")} | {"diff_hunk": clean(F.col("diff_hunk"), 2500)}
+    both = rows(threads, 0, **thread).unionByName(rows(states, 1, review_state=F.col("review_state")))
+    return both.groupBy("change_id", "text_id").agg(F.min("c").alias("c")).select("change_id", "text_id", F.col("c.context").alias("context"))
+
+
+def classification_requests(reviews: DataFrame, changes: DataFrame, contexts: DataFrame, prompt_version: str, contract: dict, instructions: str = "") -> DataFrame:
+    """One row per review of a known change: ``request_id, change_id, review_id, evidence, input_hash, prompt``.
+
+    ``reviews`` has change_id, place (its number within the change), review_id, source, url, author, created_at, body;
+    ``changes`` change_id, url, repository, number, title, body, agent; ``contexts`` is of ``evidence_contexts``. A review
+    without an id is named by a hash of source, text and place. The hash covers the version of the prompt, the contract and
+    all evidence, in JSON with sorted keys and nulls, so a change of any of them makes a request new. Reviews of unknown
+    changes have no evidence and give no request. A text without context keeps null fields.
+    """
+    body, source = clean(F.col("body")), F.coalesce("source", F.lit("unknown"))
+    own = F.substring(F.sha2(F.concat(F.coalesce("source", F.lit("")), F.lit("\0"), body, F.lit("\0"), F.col("place").cast("string")), 256), 1, 20)
+    texts = reviews.select("change_id", F.coalesce(F.nullif(F.col("review_id").cast("string"), F.lit("")), own).alias("text_id"), source.alias("source"), "url", "author", "created_at", body.alias("body"))
+    about = changes.select("change_id", F.struct(
+        F.coalesce("agent", F.lit("unknown")).alias("agent_signal"),
+        clean(F.col("body"), 1000).alias("body_context"),
+        F.coalesce(F.col("number").cast("long"), F.lit(0)).alias("number"),
+        F.coalesce("repository", F.lit("")).alias("repository"),
+        clean(F.col("title"), 500).alias("title"),
+        "url",
+    ).alias("change"))
+    joined = texts.join(about, "change_id").join(contexts, ["change_id", "text_id"], "left")
+    review = F.struct("author", "body", "context", "created_at", F.col("text_id").alias("id"), "source", "url")
+    joined = joined.select("change_id", "text_id", "source", F.struct("change", review.alias("review")).alias("evidence"))
+    evidence = F.to_json("evidence", {"ignoreNullFields": "false"})
+    plain = lambda v: F.lit(json.dumps(v, ensure_ascii=False, sort_keys=True, separators=(",", ":")))
+    canonical = F.concat(F.lit('{"evidence":'), evidence, F.lit(',"prompt_version":'), plain(prompt_version), F.lit(',"schema":'), plain(contract), F.lit("}"))
+    return joined.select(
+        F.concat_ws(":", "change_id", "source", "text_id").alias("request_id"),
+        "change_id",
+        F.col("text_id").alias("review_id"),
+        "evidence",
+        F.sha2(canonical, 256).alias("input_hash"),
+        F.concat(F.lit(instructions), F.lit("\n"), plain(contract), F.lit("\n"), evidence).alias("prompt"),
+    )
+
+
 # The contract of a label.
 CATEGORIES = (
     "functional_bug implementation_deviation design_maintainability insufficient_testing duplication_redundancy "

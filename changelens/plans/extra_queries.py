@@ -122,6 +122,28 @@ def built_requests(spark, sf_dir):
     return found.select("conv_id", "turn", "request_id", F.length("evidence.body").cast("long").alias("body_length"), F.col("evidence.hunk").alias("hunk"), "input_hash")
 
 
+CONTRACT = {"severity": ["high", "low"], "categories": ["security", "edge_case"]}
+_CONTEXT_SQL = f"""CASE WHEN turn % 2 = 0 THEN json_object('diff_hunk', left({SQUEEZED.format("role || '  hunk'")}, 2500), 'is_outdated', turn % 4 = 0, 'is_resolved', turn % 6 = 0, 'line', turn::BIGINT, 'original_line', turn::BIGINT + 1, 'path', 'src/' || turn::VARCHAR || '.py', 'review_state', NULL)
+ WHEN turn % 3 = 0 THEN json_object('diff_hunk', NULL, 'is_outdated', NULL, 'is_resolved', NULL, 'line', NULL, 'original_line', NULL, 'path', NULL, 'review_state', upper(role)) END"""
+
+
+@query(f"""WITH c AS (SELECT conv_id, turn, role, left({SQUEEZED.format('text')}, 6000) AS body, coalesce(role, 'unknown') AS source FROM conversations),
+n AS (SELECT *, CASE WHEN turn % 5 <> 0 THEN 'r' || turn::VARCHAR ELSE substr(sha256(coalesce(role, '') || chr(0) || body || chr(0) || turn::VARCHAR), 1, 20) END AS review_id, CASE WHEN turn % 5 <> 0 THEN {_CONTEXT_SQL} END AS context FROM c),
+e AS (SELECT conv_id, n.source, review_id, n.body, context, json_object('change', json_object('agent_signal', CASE WHEN doc_id % 3 = 0 THEN 'unknown' ELSE lang END, 'body_context', left({SQUEEZED.format('text')}, 1000), 'number', doc_id::BIGINT, 'repository', coalesce(d.source, ''), 'title', left({SQUEEZED.format("lang || '  ' || d.source")}, 500), 'url', NULL),
+ 'review', json_object('author', NULL, 'body', n.body, 'context', context, 'created_at', NULL, 'id', review_id, 'source', n.source, 'url', '/' || turn::VARCHAR))::VARCHAR AS evidence FROM n JOIN (SELECT doc_id, text, lang, source FROM documents) d ON doc_id = conv_id)
+SELECT conv_id AS change_id, review_id, conv_id::VARCHAR || ':' || source || ':' || review_id AS request_id, length(body)::BIGINT AS body_length, json_extract_string(context, '$.path') AS path,
+ sha256('{{"evidence":' || evidence || ',"prompt_version":"v2","schema":{{"categories":["security","edge_case"],"severity":["high","low"]}}}}') AS input_hash FROM e""")
+def classification_requests(spark, sf_dir):
+    """P25: requests from evidence on change, review and its thread; the hash covers prompt version and contract."""
+    df = t(spark, sf_dir, "conversations").withColumn("review_id", F.expr("CASE WHEN turn % 5 <> 0 THEN concat('r', turn) END"))
+    reviews = df.selectExpr("conv_id AS change_id", "turn AS place", "review_id", "role AS source", "concat('/', turn) AS url", "CAST(NULL AS STRING) AS author", "CAST(NULL AS STRING) AS created_at", "text AS body")
+    changes = t(spark, sf_dir, "documents").selectExpr("doc_id AS change_id", "CAST(NULL AS STRING) AS url", "source AS repository", "doc_id AS number", "lang || '  ' || source AS title", "text AS body", "CASE WHEN doc_id % 3 <> 0 THEN lang END AS agent")
+    states = df.where("turn % 3 = 0").selectExpr("conv_id AS change_id", "review_id AS text_id", "upper(role) AS review_state")
+    threads = df.where("turn % 2 = 0").selectExpr("conv_id AS change_id", "review_id AS text_id", "concat('src/', turn, '.py') AS path", "turn AS line", "turn + 1 AS original_line", "turn % 4 = 0 AS is_outdated", "turn % 6 = 0 AS is_resolved", "role || '  hunk' AS diff_hunk")
+    found = x.classification_requests(reviews, changes, x.evidence_contexts(states, threads), "v2", CONTRACT)
+    return found.select("change_id", "review_id", "request_id", F.length("evidence.review.body").cast("long").alias("body_length"), F.col("evidence.review.context.path").alias("path"), "input_hash")
+
+
 # ---- label statistics
 
 LABEL_SETS = (("agent",), ("quarter",), ("task_type",), ("task_type", "agent"), ("task_type", "quarter"), ("agent", "quarter"), ("task_type", "agent", "quarter"))

@@ -1,5 +1,6 @@
 """Row features on hand-written rows: the traps of path rules, signals, completeness, redaction, labels."""
 
+import hashlib
 import random
 
 import pytest
@@ -162,3 +163,34 @@ def test_corpus_repairs_are_wider(spark):
     got = values(spark, [(x, [x]) for x in titles], "t string, l array<string>", r.repair_title(F.col("t"), r.CORPUS_REPAIR_TITLE), r.bug_label(F.col("l"), r.CORPUS_BUG_LABELS))
     assert [a for a, _ in got] == [True, False, True, False, False, False, True, False]
     assert values(spark, [(["Type: Hot-Fix"],), (["bug fixes"],), (["debug"],)], "l array<string>", r.bug_label(F.col("l"), r.CORPUS_BUG_LABELS)) == [(True,), (True,), (False,)]
+
+
+def test_requests_of_reviews_with_their_context(spark):
+    review = "change_id long, place long, review_id string, source string, url string, author string, created_at string, body string"
+    reviews = spark.createDataFrame(
+        [(1, 0, "a", "thread", None, None, None, " Crashes\n on empty  input "), (1, 1, "b", "review", None, None, None, "fine"), (1, 2, None, None, None, None, None, None), (1, 3, "", None, None, None, None, None), (9, 0, "a", "x", None, None, None, "unknown change"), (None, 0, "a", "x", None, None, None, "no change")],
+        review,
+    )
+    changes = spark.createDataFrame([(1, "u", "o/r", 7, "T" * 600, "B" * 2000, None)], "change_id long, url string, repository string, number long, title string, body string, agent string")
+    states = spark.createDataFrame([(1, "a", "APPROVED"), (1, "b", "COMMENTED"), (1, None, "x")], "change_id long, text_id string, review_state string")
+    schema = "change_id long, text_id string, path string, line long, original_line long, is_outdated boolean, is_resolved boolean, diff_hunk string"
+    threads = spark.createDataFrame([(1, "a", "parser.py", 3, None, False, None, "@@  x" * 1000)], schema)
+
+    def asked(version="v1", contract=None, rows=threads, about=changes):
+        return {r["review_id"]: r for r in text.classification_requests(reviews, about, text.evidence_contexts(states, rows), version, contract or {"b": 1, "a": [2]}, "Label.").collect()}
+
+    found = asked()
+    own = [hashlib.sha256(f"\0\0{n}".encode()).hexdigest()[:20] for n in (2, 3)]
+    assert sorted(found) == sorted(["a", "b", *own])
+    a, b = found["a"]["evidence"]["review"], found["b"]["evidence"]["review"]
+    assert (a["context"]["path"], a["context"]["review_state"], len(a["context"]["diff_hunk"]), a["body"]) == ("parser.py", None, 2500, "Crashes on empty input")
+    assert (b["context"]["path"], b["context"]["review_state"]) == (None, "COMMENTED") and found[own[0]]["evidence"]["review"]["context"] is None
+    change = found["b"]["evidence"]["change"]
+    assert (len(change["title"]), len(change["body_context"]), change["agent_signal"], change["number"]) == (500, 1000, "unknown", 7)
+    assert found[own[0]]["request_id"] == f"1:unknown:{own[0]}" and found["a"]["prompt"].startswith('Label.\n{"a":[2],"b":1}\n{"change":{') and "Crashes on empty input" in found["a"]["prompt"]
+    hashes = {k: r["input_hash"] for k, r in found.items()}
+    assert all(asked("v2")[k]["input_hash"] != h for k, h in hashes.items()) and all(asked(contract={"b": 2})[k]["input_hash"] != h for k, h in hashes.items())
+    assert {k: r["input_hash"] for k, r in asked(contract={"a": [2], "b": 1}).items()} == hashes
+    moved = asked(rows=threads.withColumn("is_resolved", F.lit(True)))
+    assert [k for k, h in hashes.items() if moved[k]["input_hash"] != h] == ["a"]
+    assert asked(about=changes.limit(0)) == {}
