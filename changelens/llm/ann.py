@@ -2,9 +2,10 @@
 
 The tree is fitted on the driver to a bounded sample and broadcast; its size does not depend on the input. Every row
 is put into the leaf whose centres are nearest on the way down. A query walks the tree with a priority queue of
-branches, nearest centre first, and visits as many leaves as calibration found necessary: for sampled queries the true
-neighbours are found by a scan of all rows, and visits widen until their leaves cover the wanted recall. Leaves are
-dealt in blocks of bounded size, so a leaf full of copies of one vector is searched by many tasks.
+branches, nearest centre first, and visits as many leaves as calibration found necessary: for queries from outside the
+sample the true neighbours are found by a scan of all rows, and visits widen until their leaves cover the wanted recall.
+Leaves, and the queries that visit one, are dealt in blocks of bounded size, so a leaf full of copies of one vector, or
+one that very many queries visit, is searched by many tasks.
 """
 
 from __future__ import annotations
@@ -22,9 +23,10 @@ from .scratch import materialize
 SAMPLE_ROWS = 16_384
 CALIBRATION_QUERIES = 128
 BRANCHES = 8
-#: Rows of the sample that a leaf should have; and rows of one block of a leaf.
+#: Rows of the sample that a leaf should have; rows of one block of a leaf; and queries that one task meets with a block.
 LEAF_SAMPLE = 64
 BLOCK_ROWS = 4096
+BLOCK_QUERIES = 4096
 
 
 class Tree:
@@ -148,7 +150,8 @@ def _calibrate(rows: DataFrame, tree: Tree, queries: list[tuple[int, np.ndarray]
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = SAMPLE_ROWS
+    vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", recall: float = 0.97, sample_rows: int = SAMPLE_ROWS,
+    block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES,
 ) -> DataFrame:
     """``query_id, rank, <id_col>, score``: for each query row the nearest rows of ``vectors`` that the search found.
 
@@ -164,8 +167,9 @@ def nearest(
     total = rows.count()
     if not total:
         return empty
-    share = min(1.0, sample_rows / total)
-    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30))).orderBy("id").collect() if total > 1 else rows.collect()
+    limit = int(min(1.0, sample_rows / total) * (1 << 30))
+    slot = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
+    sample = rows.where(slot < limit).orderBy("id").collect() if total > 1 else rows.collect()
     if not sample:
         sample = rows.limit(1).collect()
     width = len(sample[0]["v"])
@@ -173,8 +177,11 @@ def nearest(
     sample = [r for r in sample if len(r["v"]) == width]
     x = np.array([r["v"] for r in sample])
     tree = Tree().fit(x)
-    step = max(1, len(sample) // CALIBRATION_QUERIES)
-    visits = _calibrate(rows, tree, [(r["id"], np.array(r["v"])) for r in sample[::step]], k, recall)
+    # rows that the tree was not fitted to, and rows of the sample where there are too few others
+    asking = rows.where(slot >= limit).orderBy(slot, "id").limit(CALIBRATION_QUERIES).collect()
+    if len(asking) < CALIBRATION_QUERIES:
+        asking += sample[:: max(1, len(sample) // (CALIBRATION_QUERIES - len(asking)))]
+    visits = _calibrate(rows, tree, [(r["id"], np.array(r["v"])) for r in asking], k, recall)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,11 +193,15 @@ def nearest(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves, pa.list_(pa.int64()))], ["id", "v", "leaves"])
 
     indexed = materialize(rows.mapInArrow(index, "id long, v array<double>, leaf long"), "index")
-    blocks = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("blocks"))
-    dealt = indexed.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).alias("block"), "id", "v")
+    blocks = indexed.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_rows).alias("blocks"))
     asked = _usable(queries, id_col, vector_col).where(F.size("v") == width).mapInArrow(walk, "id long, v array<double>, leaves array<long>")
     asked = asked.select("id", "v", F.explode("leaves").alias("leaf"))
-    parts = asked.join(blocks, "leaf").select("leaf", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "id", "v")
+    sides = asked.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / block_queries).alias("sides"))
+    shape = materialize(blocks.join(sides, "leaf"), "leaf-blocks")  # a leaf that no query visits is not searched
+    dealt_to = lambda name, count: F.pmod(F.xxhash64("id", F.lit(name)), F.col(count))
+    each = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    dealt = indexed.join(shape, "leaf").select("leaf", dealt_to("block", "blocks").alias("block"), each("sides").alias("side"), "id", "v")
+    parts = asked.join(shape, "leaf").select("leaf", each("blocks").alias("block"), dealt_to("side", "sides").alias("side"), "id", "v")
 
     def search(key: tuple, candidates: pa.Table, wanted: pa.Table) -> pa.Table:
         out: list[tuple] = []
@@ -201,6 +212,6 @@ def nearest(
                 out += [(q_id, int(b), float(d)) for b, d in zip(best, distance, strict=True)]
         return pa.table(dict(zip(("query_id", "id", "score"), (pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else ([], [], []), (pa.int64(), pa.int64(), pa.float64()), strict=True)), strict=True)))
 
-    near = dealt.groupBy("leaf", "block").cogroup(parts.groupBy("leaf", "block")).applyInArrow(search, "query_id long, id long, score double")
+    near = dealt.groupBy("leaf", "block", "side").cogroup(parts.groupBy("leaf", "block", "side")).applyInArrow(search, "query_id long, id long, score double")
     best = near.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("score", "id"))), 1, k).alias("best"))
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.id").alias(id_col), F.col("b.score").alias("score"))

@@ -51,6 +51,20 @@ def test_nearest_with_copies_and_unusable_vectors(spark):
     assert ann.nearest(df.limit(0), df).collect() == []
 
 
+def test_nearest_in_small_blocks_of_rows_and_queries(spark):
+    draw = np.random.default_rng(5)
+    x = draw.normal(size=(900, 6)) + draw.integers(0, 4, size=(900, 1)) * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(x, 2))]
+    df = spark.createDataFrame([(*r, 1, 2, "x") for r in rows], "vec_id long, embedding array<double>, block int, side int, blocks string")
+    queries_ = df.where("vec_id % 3 = 0")
+    want = sorted(map(tuple, ann.nearest(df, queries_, sample_rows=300).collect()))
+    got = sorted(map(tuple, ann.nearest(df, queries_, sample_rows=300, block_rows=40, block_queries=7).collect()))
+    assert got == want and len(got) == 3000
+    found = {(q, v) for q, _, v, _ in got}
+    true = {(i, v) for i, q in rows if i % 3 == 0 for v, _ in brute([(n, np.array(r)) for n, r in rows], i, np.array(q))}
+    assert len(found & true) >= 0.9 * len(true)
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
