@@ -3,6 +3,7 @@
 import datetime
 import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -83,3 +84,14 @@ def test_controls_equal_the_walk(spark, seed, batch):
     found = matching.match_controls(spark.createDataFrame(anchors, schema), spark.createDataFrame(pool, schema), batch=batch).collect()
     assert {r["anchor"]: (r["control"], r["score"]) for r in found} == greedy(anchors, pool)
     assert matching.match_controls(spark.createDataFrame([], schema), spark.createDataFrame(pool, schema)).collect() == []
+
+
+def test_files_meet_by_change_in_parts_of_bounded_size(spark, sf_dir, monkeypatch):
+    from changelens.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "FILES_A_TASK", 500)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    plan = fixtures.changes(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    dealt = [int(n) for n in re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
+    assert dealt == [max(4, -(-lines // 500))] and dealt[0] > 4
+    assert not re.search(r"hashpartitioning\(path#|hashpartitioning\(id#\d+L?, path#", plan), plan
