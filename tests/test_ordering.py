@@ -95,3 +95,14 @@ def test_files_meet_by_change_in_parts_of_bounded_size(spark, sf_dir, monkeypatc
     dealt = [int(n) for n in re.findall(r"hashpartitioning\(id#\d+L?, (\d+)\), REPARTITION_BY_NUM", plan)]
     assert dealt == [max(4, -(-lines // 500))] and dealt[0] > 4
     assert not re.search(r"hashpartitioning\(path#|hashpartitioning\(id#\d+L?, path#", plan), plan
+
+
+def test_anchors_alike_do_not_take_a_round_each(spark, monkeypatch):
+    day = datetime.date(2020, 1, 1)
+    anchors = [(f"a{i:03d}", "go", i, day, 10.0 + i % 2, ["x"]) for i in range(60)]
+    pool = [(f"c{i:03d}", "go", 0, day + datetime.timedelta(days=i // 40), 10.0, ["x"]) for i in range(100)]
+    schema, steps, write = "name string, language string, rank int, created date, size double, topics array<string>", [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, name: steps.append(name) or write(df, name))
+    found = matching.match_controls(spark.createDataFrame(anchors, schema), spark.createDataFrame(pool, schema), batch=8).collect()
+    assert {r["anchor"]: (r["control"], r["score"]) for r in found} == greedy(anchors, pool) and len(found) == 60
+    assert len(steps) < 20
