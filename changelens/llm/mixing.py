@@ -153,8 +153,8 @@ def decide(
     """``docs`` plus a last column (a struct of ``source, lang, topic, n_tokens, weight, chance, sampled``) whose name none of
     ``docs`` has; no row moves.
 
-    See ``mix``. Texts are read once for the cells' sums and once to decide, and without ``topic`` a bounded sample of them
-    is read to learn topics.
+    See ``mix``. Texts are read once for the cells' sums and once to decide, and without ``topic`` once more
+    to learn topics from all of them.
     """
     text = F.col(text_col)
     if topic is None:

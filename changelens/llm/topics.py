@@ -1,13 +1,13 @@
 """Topics of documents, learned without labels: hashed words, weighted by rarity, and k-means within languages.
 
-The model is fitted on the driver to a bounded sample of distinct texts and has a fixed size; every text is then given its
-topic where it lies, from all its words. Documents of one language look alike for that reason alone, so the mean of each
+Every distinct text is in the fit: its weights are written once, and each round of k-means is one pass over them in tasks that hand
+on sums for the centres. The model has a fixed size; every text is then given its topic where it lies, from all its words. Documents of one language look alike for that reason alone, so the mean of each
 language is taken off first: what is left tells subjects, not languages, apart.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from . import textkit
+from .scratch import materialize
 
-#: Distinct texts that the model is fitted to, about.
-SAMPLE_ROWS = 4096
 TOPICS = 8
 #: Buckets of hashed words.
 BUCKETS = 1024
-#: Languages with fewer sampled texts share the mean of all.
-LEAST_TEXTS = 8
+#: Languages with fewer texts, or less than one in MOST_LANGS of all, share the mean of all.
+LEAST_TEXTS, MOST_LANGS = 8, 512
 ROUNDS = 25
+#: Fits from other first centres, side by side; the one with the smallest squared distances is taken.
+STARTS = 4
 #: Topic of a text that has no word.
 NO_WORDS = "none"
 #: Words' counts weigh round(STEP * log(1 + count)); centres are whole numbers of 1 / GRID. Sums of their products stay
@@ -47,39 +48,10 @@ def word_weights(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Topics:
     """``rarity`` of buckets, centres (TOPICS by BUCKETS) and the means of languages."""
 
-    def fit(self, weights: np.ndarray, langs: list[str | None], topics: int = TOPICS, seed: int = 11) -> Topics:
-        n = len(weights)
-        rarity = np.log((1 + n) / (1 + (weights > 0).sum(0))) + 1e-6
-        x = weights * rarity
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        overall = x.mean(0) if n else np.zeros(BUCKETS)
-        means = {None: overall}
-        for lang in sorted({v for v in langs if v is not None}):
-            mine = np.array([v == lang for v in langs])
-            if mine.sum() >= LEAST_TEXTS:
-                means[lang] = x[mine].mean(0)
-        rest = x - np.array([means.get(v, overall) for v in langs]) if n else x
-        centres = self._centres(rest, topics, np.random.default_rng(seed))
+    def __init__(self, rarity: np.ndarray, centres: np.ndarray, means: dict[str | None, np.ndarray]):
         self.dots = np.round(GRID * rarity * centres).T
         self.squares = np.round(GRID * rarity**2)
         self.offsets = {v: centres @ m + (centres**2).sum(1) / 2 for v, m in means.items()}
-        return self
-
-    @staticmethod
-    def _centres(x: np.ndarray, topics: int, draw: np.random.Generator) -> np.ndarray:
-        """k-means whose first centres are drawn by their squared distance from those before."""
-        if not len(x):
-            return np.zeros((1, BUCKETS))
-        chosen = [x[draw.integers(len(x))]]
-        away = ((x - chosen[0]) ** 2).sum(1)
-        while len(chosen) < topics and away.sum() > 1e-12:
-            chosen.append(x[draw.choice(len(x), p=away / away.sum())])
-            away = np.minimum(away, ((x - chosen[-1]) ** 2).sum(1))
-        centres = np.array(chosen)
-        for _ in range(ROUNDS):
-            near = ((centres**2).sum(1) - 2 * (x @ centres.T)).argmin(1)
-            centres = np.array([x[near == k].mean(0) if (near == k).any() else centres[k] for k in range(len(centres))])
-        return centres
 
     def assign(self, weights: np.ndarray, langs: list[str | None]) -> list[str]:
         """The topic whose centre is nearest; ties go to the first."""
@@ -89,27 +61,129 @@ class Topics:
         return [f"topic_{k}" if s > 0 else NO_WORDS for k, s in zip(score.argmax(1).tolist(), size.tolist(), strict=True)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int = SAMPLE_ROWS, topics: int = TOPICS) -> Topics:
-    """A model of about ``sample_rows`` texts, chosen by a hash of the text; copies of a text count once.
+def _weights(packed: pa.Array) -> np.ndarray:
+    """Texts by BUCKETS from what ``fit`` wrote: pairs of a bucket and its weight."""
+    raw = [np.frombuffer(v, np.uint16).reshape(-1, 2) for v in packed.to_pylist()]
+    found = np.zeros((len(raw), BUCKETS))
+    if raw:
+        both = np.concatenate(raw)
+        found[np.repeat(np.arange(len(raw)), [len(v) for v in raw]), both[:, 0]] = both[:, 1]
+    return found
 
-    The sample is a share of all rows, so with many copies it has fewer texts. Null texts are not sampled; an empty table
-    gives a model with one topic.
+
+def _units(weights: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """Texts of length 1, in whole numbers of 1 / GRID, whatever the batch."""
+    size = np.sqrt((weights**2) @ np.round(GRID * rarity**2) / GRID)
+    return np.round(np.divide(GRID * (weights * rarity), size[:, None], out=np.zeros_like(weights), where=size[:, None] > 0))
+
+
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for first in range(0, batch.num_rows, 1024):
+            yield batch.slice(first, 1024)
+
+
+def _sums(texts: DataFrame, rows: int, width: int, add: Callable[[np.ndarray, list], tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Sums over all texts of what ``add`` (weights, languages) gives: for rows by width, row numbers (or several lists of
+    them) and whole numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((rows, width))
+        for batch in _batches(batches):
+            row, values = add(_weights(batch.column("weights")), batch.column("lang").to_pylist())
+            for mine in row if row.ndim == 2 else row[None]:
+                for k in np.unique(mine).tolist():
+                    total[k] += values[mine == k].sum(0)
+        k, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(total[k, at].astype(np.int64))], ["k", "at", "n"])
+
+    found = np.zeros((rows, width))
+    for r in texts.mapInArrow(textkit.tidy(run), "k long, at long, n long").groupBy("k", "at").agg(F.sum("n").alias("n")).collect():
+        found[r["k"], r["at"]] = r["n"]
+    return found
+
+
+def _next_centres(texts: DataFrame, rarity: np.ndarray, means: dict, centres: list[list[np.ndarray]], seed: int) -> dict[int, np.ndarray]:
+    """For every start a text drawn by its squared distance from the nearest centre: all race, by a hash of text and seed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _batches(batches):
+            rest = _units(_weights(batch.column("weights")), rarity) / GRID - np.array([means.get(v, means[None]) for v in batch.column("lang").to_pylist()]).reshape(-1, BUCKETS)
+            key = batch.column("key").to_numpy().view(np.uint64)
+            for start, own in enumerate(centres):
+                away = np.min([((rest - c) ** 2).sum(1) for c in own], axis=0) if own else np.ones(len(rest))
+                u = ((textkit.mix(key + np.uint64((seed + start) * 1000 + len(own))) >> np.uint64(11)) + np.uint64(1)).astype(float) / 2.0**53
+                race = np.where(away > 1e-9, np.log(u) / np.maximum(away, 1e-9), -np.inf)
+                best = int(race.argmax())
+                if race[best] > -np.inf:
+                    one = [pa.array([start]), pa.array(race[best : best + 1]), *(batch.column(c).slice(best, 1) for c in ("key", "lang", "weights"))]
+                    yield pa.RecordBatch.from_arrays(one, ["start", "race", "key", "lang", "weights"])
+
+    best = texts.mapInArrow(textkit.tidy(run), "start long, race double, key long, lang string, weights binary")
+    best = best.groupBy("start").agg(F.max(F.struct("race", "key", "lang", "weights")).alias("b")).collect()
+    unit = lambda b: _units(_weights(pa.array([bytes(b["weights"])], pa.binary())), rarity)[0] / GRID
+    return {r["start"]: unit(r["b"]) - means.get(r["b"]["lang"], means[None]) for r in best}
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sample_rows: int | None = None, topics: int = TOPICS, seed: int = 11) -> Topics:
+    """A model of all texts that are not null; copies of a text count once. An empty table gives a model with one topic.
+
+    ``sample_rows`` restricts it to about so many rows, chosen by a hash of the text.
     """
-    total = docs.count()
-    limit = int(min(1.0, sample_rows / max(1, total)) * (1 << 30))
-    own = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    own = own.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < limit))
+    own = docs.select(F.xxhash64(text_col).alias("key"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where(F.col("text").isNotNull())
+    if sample_rows is not None:
+        limit = int(min(1.0, sample_rows / max(1, docs.count())) * (1 << 30))
+        own = own.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < limit)
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, offsets in textkit.chunks(batch.column(1)):
-                packed = pa.array([w.tobytes() for w in word_weights(data, offsets).astype(np.uint16)], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in (batch.column(0), batch.column(2))), packed], ["key", "lang", "weights"])
+                packed = []
+                for w in word_weights(data, offsets):
+                    at = np.flatnonzero(w)
+                    packed.append(np.column_stack([at, w[at]]).astype(np.uint16).tobytes())
+                yield pa.RecordBatch.from_arrays([*(c.slice(first, last - first) for c in (batch.column(0), batch.column(2))), pa.array(packed, pa.binary())], ["key", "lang", "weights"])
 
     weighed = own.mapInArrow(textkit.tidy(weigh), "key long, lang string, weights binary")
-    rows = weighed.groupBy("key").agg(F.min(F.struct("lang", "weights")).alias("w")).orderBy("key").collect()
-    weights = np.array([np.frombuffer(r["w"]["weights"], np.uint16) for r in rows], float).reshape(len(rows), BUCKETS)
-    return Topics().fit(weights, [r["w"]["lang"] for r in rows], topics)
+    texts = weighed.groupBy("key").agg(F.min(F.struct("lang", "weights")).alias("w")).select("key", "w.lang", "w.weights")
+    texts = materialize(texts, "topic-texts")
+    n = texts.count()
+    if not n:
+        return Topics(np.full(BUCKETS, 1e-6), np.zeros((1, BUCKETS)), {None: np.zeros(BUCKETS)})
+    rarity = np.log((1 + n) / (1 + _sums(texts, 1, BUCKETS, lambda w, langs: (np.zeros(len(w), int), w > 0))[0])) + 1e-6
+    known = texts.where("lang is not null").groupBy("lang").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max(LEAST_TEXTS, n / MOST_LANGS)).orderBy("lang").collect()
+    code = {r["lang"]: k for k, r in enumerate(known)}
+    codes = lambda langs: np.array([code.get(v, len(code)) for v in langs], int)
+    by_lang = _sums(texts, len(code) + 1, BUCKETS, lambda w, langs: (codes(langs), _units(w, rarity))) / GRID
+    means = {v: by_lang[k] / known[k]["n"] for v, k in code.items()} | {None: by_lang.sum(0) / n}
+    table = np.array([means[v] for v in [*code, None]])
+
+    centres: list[list[np.ndarray]] = [[] for _ in range(STARTS)]
+    for _ in range(topics):
+        for start, found in _next_centres(texts, rarity, means, centres, seed).items():
+            centres[start].append(found)
+    first = np.cumsum([0] + [len(own) for own in centres])
+    now = np.array([c for own in centres for c in own]).reshape(-1, BUCKETS)
+    for _ in range(ROUNDS + 1):
+        dots, offsets = np.round(GRID * now), now @ table.T + (now**2).sum(1)[:, None] / 2
+
+        def near(w: np.ndarray, langs: list, dots: np.ndarray = dots, offsets: np.ndarray = offsets) -> tuple[np.ndarray, np.ndarray]:
+            x, of = _units(w, rarity), codes(langs)
+            own = np.zeros((len(x), len(table)))
+            own[np.arange(len(x)), of] = 1
+            score = x @ dots.T / GRID**2 - offsets.T[of]
+            return np.array([a + score[:, a:b].argmax(1) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]), np.column_stack([x, own])
+
+        sums = _sums(texts, len(now), BUCKETS + len(table), near)
+        count, inside = sums[:, BUCKETS:].sum(1, keepdims=True), sums[:, :BUCKETS] / GRID - sums[:, BUCKETS:] @ table
+        new = np.where(count > 0, inside / np.maximum(count, 1), now)
+        # the larger the squares of the means, times their texts, the smaller the squared distances from them
+        spread = [float((count[a:b] * new[a:b] ** 2).sum()) for a, b in zip(first[:-1], first[1:], strict=True)]
+        if np.array_equal(new, now):
+            break
+        now = new
+    best = int(np.argmax(spread))
+    return Topics(rarity, now[first[best] : first[best + 1]], means)
 
 
 def topic(model: Topics, text: Column, lang: Column) -> Column:

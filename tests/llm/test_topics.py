@@ -69,3 +69,11 @@ def test_awkward_rows(spark):
     assert all(r["topic"].startswith("topic_") for r in found if r["doc_id"] not in (1, 2, 3))
     assert mixing.mix(df.limit(0)).collect() == []
     assert topics.fit(df.where("text is null")).dots.shape == (topics.BUCKETS, 1)
+
+
+def test_every_text_is_in_the_fit(spark):
+    rows = [(i, f"own{i} common", "en") for i in range(5000)]
+    model = topics.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), topics=2)
+    with_word = Counter(b for i in range(5000) for b in {bucket(f"own{i}"), bucket("common")})
+    want = [round(topics.GRID * (math.log(5001 / (1 + with_word[b])) + 1e-6) ** 2) for b in range(topics.BUCKETS)]
+    assert np.abs(model.squares - want).max() <= 1
