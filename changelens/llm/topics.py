@@ -91,9 +91,10 @@ def _sums(texts: DataFrame, rows: int, width: int, add: Callable[[np.ndarray, li
         total = np.zeros((rows, width))
         for batch in _batches(batches):
             row, values = add(_weights(batch.column("weights")), batch.column("lang").to_pylist())
+            which = np.zeros((len(values), rows))
             for mine in row if row.ndim == 2 else row[None]:
-                for k in np.unique(mine).tolist():
-                    total[k] += values[mine == k].sum(0)
+                which[np.arange(len(values)), mine] = 1
+            total += which.T @ values.astype(float)
         k, at = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(at), pa.array(total[k, at].astype(np.int64))], ["k", "at", "n"])
 
@@ -105,13 +106,17 @@ def _sums(texts: DataFrame, rows: int, width: int, add: Callable[[np.ndarray, li
 
 def _next_centres(texts: DataFrame, rarity: np.ndarray, means: dict, centres: list[list[np.ndarray]], seed: int) -> dict[int, np.ndarray]:
     """For every start a text drawn by its squared distance from the nearest centre: all race, by a hash of text and seed."""
+    whole = {v: np.round(GRID * m) for v, m in means.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _batches(batches):
-            rest = _units(_weights(batch.column("weights")), rarity) / GRID - np.array([means.get(v, means[None]) for v in batch.column("lang").to_pylist()]).reshape(-1, BUCKETS)
+            mean = np.array([whole.get(v, whole[None]) for v in batch.column("lang").to_pylist()]).reshape(-1, BUCKETS)
+            rest = _units(_weights(batch.column("weights")), rarity) - mean
+            squares = (rest**2).sum(1)
             key = batch.column("key").to_numpy().view(np.uint64)
             for start, own in enumerate(centres):
-                away = np.min([((rest - c) ** 2).sum(1) for c in own], axis=0) if own else np.ones(len(rest))
+                grid = np.round(GRID * np.array(own))
+                away = (squares + ((grid**2).sum(1) - 2 * (rest @ grid.T)).min(1)) / GRID**2 if own else np.ones(len(rest))
                 u = ((textkit.mix(key + np.uint64((seed + start) * 1000 + len(own))) >> np.uint64(11)) + np.uint64(1)).astype(float) / 2.0**53
                 race = np.where(away > 1e-9, np.log(u) / np.maximum(away, 1e-9), -np.inf)
                 best = int(race.argmax())
