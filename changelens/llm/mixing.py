@@ -156,17 +156,30 @@ def decide(
     See ``mix``. Texts are read once for the cells' sums and once to decide, and without ``topic`` once more
     to learn topics from all of them.
     """
+    mark = fresh(docs.columns, "_mix")[0]
+    return _drawn(docs.withColumn(mark, _cell(docs, text_col, topic)), docs.columns, mark, keep_share, targets, powers, id_col, seed, most_cells)
+
+
+def _cell(docs: DataFrame, text_col: str, topic: Column | None) -> Column:
+    """A struct of ``source, lang, topic, n_tokens``."""
     text = F.col(text_col)
+    n_tokens = token_count(text)
     if topic is None:
-        topic = topics.topic(topics.fit(docs, text_col), text, F.col("lang"))
-    cell = F.struct(
+        learned = topics.topic_and_words(topics.fit(docs, text_col), text, F.col("lang"))
+        topic, n_tokens = learned["topic"], learned["n_words"]
+    return F.struct(
         F.coalesce(F.col("source").cast("string"), F.lit(NONE)).alias("source"),
         F.coalesce(F.col("lang").cast("string"), F.lit(NONE)).alias("lang"),
         F.coalesce(topic.cast("string"), F.lit(NONE)).alias("topic"),
-        token_count(text).alias("n_tokens"),
+        n_tokens.alias("n_tokens"),
     )
-    mark, own, weight_of, chance_of = fresh(docs.columns, "_mix", "_cell", "_weight", "_chance")
-    rows = docs.withColumn(mark, cell)
+
+
+def _drawn(
+    rows: DataFrame, columns: list[str], mark: str, keep_share: float, targets: dict[str, dict[str, float]] | None, powers: dict[str, float] | None, id_col: str, seed: str, most_cells: int
+) -> DataFrame:
+    """``columns`` of ``rows`` and, under the name of their cell ``mark``, what ``decide`` adds."""
+    own, weight_of, chance_of = fresh([*columns, mark], "_cell", "_weight", "_chance")
     keys = [F.col(mark)[m].alias(m) for m in MARGINS]
     powers = POWERS | (powers or {})
     sums = materialize(rows.groupBy(*keys).agg(F.sum(F.col(mark)["n_tokens"]).cast("double").alias("tokens")), "mix-cells")
@@ -179,10 +192,20 @@ def decide(
     tokens_of = F.col(mark)["n_tokens"]
     sampled = (tokens_of == 0) | (draw(F.col(id_col), seed) < F.col(chance_of))
     decided = F.struct(*keys, tokens_of.alias("n_tokens"), F.col(weight_of).alias("weight"), F.col(chance_of).alias("chance"), sampled.alias("sampled"))
-    return joined.select(*docs.columns, decided.alias(mark))
+    return joined.select(*columns, decided.alias(mark))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def mix(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    keep_share: float = 0.5,
+    targets: dict[str, dict[str, float]] | None = None,
+    powers: dict[str, float] | None = None,
+    topic: Column | None = None,
+    seed: str = "mix",
+    most_cells: int = MOST_CELLS,
+) -> DataFrame:
     """One row per input row: ``id_col, source, lang, topic, n_tokens, weight, chance, sampled``.
 
     ``targets`` gives shares by margin ("source", "lang", "topic") and value; where missing they are the present
@@ -192,5 +215,6 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **optio
     result; columns of ``docs`` other than id, text, source and lang are not looked at.
     """
     own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "source", "lang")
-    decided = decide(own, id_col="id", text_col="text", **options)
-    return decided.select(F.col("id").alias(id_col), f"{decided.columns[-1]}.*")
+    # texts are looked at once; their cells are written, and rows are drawn from these
+    cells = materialize(own.select("id", _cell(own, "text", topic).alias("cell")), "mix-rows")
+    return _drawn(cells, ["id"], "cell", keep_share, targets, powers, "id", seed, most_cells).select(F.col("id").alias(id_col), "cell.*")

@@ -77,3 +77,25 @@ def test_every_text_is_in_the_fit(spark):
     with_word = Counter(b for i in range(5000) for b in {bucket(f"own{i}"), bucket("common")})
     want = [round(topics.GRID * (math.log(5001 / (1 + with_word[b])) + 1e-6) ** 2) for b in range(topics.BUCKETS)]
     assert np.abs(model.squares - want).max() <= 1
+
+
+def test_entries_of_texts_survive_packing_and_slices():
+    texts = ["", "One two one", "\t", "three  four é", ""]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    ends, entries, words = topics.word_weights(data, offsets)
+    packed = topics._binary(ends, entries)
+    for first in range(len(texts)):
+        row, at, value = topics._entries(packed.slice(first))
+        found = sorted(zip(row.tolist(), at.tolist(), value.tolist(), strict=True))
+        want = [(k, bucket(w), round(topics.STEP * math.log(1 + n))) for k, t in enumerate(texts[first:]) for w, n in Counter(t.lower().split()).items()]
+        assert found == sorted(want)
+    assert words.tolist() == [0, 3, 0, 3, 0]
+
+
+def test_words_are_counted_where_topics_are_given(spark):
+    rows = [(None,), ("",), (" \t\n",), ("a",), ("a b c   d\x0b\x0ce\x00f\n",), ("word " * 60_000,)]
+    df = spark.createDataFrame(rows, "text string").withColumn("lang", F.lit("en"))
+    model = topics.fit(df, topics=2)
+    found = df.select(topics.topic_and_words(model, F.col("text"), F.col("lang"))["n_words"].alias("n"), mixing.token_count(F.col("text")).alias("m")).collect()
+    assert all(r["n"] == r["m"] for r in found) and sorted(r["n"] for r in found) == [0, 0, 0, 1, 5, 60_000]
