@@ -249,7 +249,11 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rest = F.least(a["size"] - a["at"], b["size"] - b["at"])
         return rest * 7 >= (a["size"] + b["size"]) * 3
 
-    groups = link_groups(shared_keys(keys), verify, compatible, 0.75)
+    def possible(size: Column, at: Column, least: Column) -> Column:
+        """What ``compatible`` asks of one side alone, with a partner of at least ``least`` elements."""
+        return (size - at) * 7 >= (size + F.greatest(least, F.ceil(size * 3 / 4))) * 3
+
+    groups = link_groups(shared_keys(keys, possible), verify, compatible, 0.75)
     found = members.distinct()
     # an id that is repeated with unlike texts joins their classes
     several = found.groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("hi")).where("a <> hi").select("doc", "a")
